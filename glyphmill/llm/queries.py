@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import fmindex, packing, quality, rules, secrets, sharding, simhash, warc
+from glyphmill.llm import fmindex, licenses, packing, quality, rules, secrets, sharding, simhash, tokencount, warc
 from glyphmill.llm.rows import table
 
 
@@ -27,6 +27,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.laid_out(table(spark, sf_dir, "documents")))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -35,6 +39,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"))
 
 
+def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokencount.from_sentencepiece(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
@@ -48,8 +56,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
+    "op5_licenses": op5_licenses,
     "op6_warc": op6_warc,
     "op7_sharding": op7_sharding,
+    "op8_tokencount": op8_tokencount,
     "op9_secrets": op9_secrets,
     "op10_rules": op10_rules,
 }
