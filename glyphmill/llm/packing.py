@@ -8,6 +8,7 @@ sequences by a broadcast table of as many rows as the patterns have entries.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -16,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -28,7 +30,7 @@ CAPACITY = 4096
 UNIT = 8
 END_ID = 2
 #: Chunks whose ids a task remembers; then it forgets them all.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 #: Python splits at these, the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -36,36 +38,96 @@ _CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
 
 
 @lru_cache(2)
-def _tokenizer(spec: str):
+def _tokenizers(spec: str):
+    """The tokenizer; one that takes words as its byte-level step leaves them; and which ids end a word."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_str(spec)
+    whole = Tokenizer.from_str(spec)
+    plain = json.loads(spec) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+    ends = np.zeros(whole.get_vocab_size() + 1, bool)
+    ends[[k for token, k in plain["model"]["vocab"].items() if token.endswith("</w>")]] = True
+    return whole, Tokenizer.from_str(json.dumps(plain)), ends
+
+
+def _byte_characters() -> dict[int, str]:
+    """The visible character that stands for each byte in byte-level vocabularies: itself where visible, else the next from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_VISIBLE = _byte_characters()
+
+
+#: Chunks of these characters only are lower-cased and cut into words here, in the tokenizer's own way; others go to it whole.
+_PLAIN = re.compile("[!-\u012f\u0131-\u024f]+")
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+WORDS_AT_ONCE = 2000
+
+
+class _Numbers(dict):
+    """Numbers keys in the order they are first asked for; `new` has those not yet dealt with."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
 
 
 class ChunkTokenizer:
-    """Ids of whole texts by way of their chunks between white space.
+    """Ids of whole texts by way of their chunks between white space, and of new chunks by way of their words.
 
-    Right for tokenizers whose pieces never reach across white space and which drop it, as word_bpe_49k does: a text's ids are then
-    those of its chunks in a row. Ids are kept as little-endian unsigned 32-bit bytes.
+    Right for word_bpe_49k, whose words never reach across white space and which drops it: a text's ids are then those of its chunks
+    in a row, and a chunk's those of its words. Ids are kept as little-endian unsigned 32-bit bytes.
     """
 
     def __init__(self, spec: str):
-        self.tokenizer = _tokenizer(spec)
-        self.known: dict[str, bytes] = {}
+        self.whole, self.plain, self.ends = _tokenizers(spec)
+        self.numbers, self.ids, self.words = _Numbers(), [], {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, new: list[str]) -> None:
+        visible = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(_VISIBLE) for w in new]
+        lines = [" ".join(visible[at : at + WORDS_AT_ONCE]) for at in range(0, len(new), WORDS_AT_ONCE)]
+        for k, got in enumerate(self.plain.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
+            cuts = [0, *(4 * np.nonzero(self.ends[ids])[0] + 4).tolist()]
+            part, raw = new[k * WORDS_AT_ONCE : (k + 1) * WORDS_AT_ONCE], ids.tobytes()
+            self.words.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] if len(cuts) == len(part) + 1 else self._encode(part), strict=True))
+
+    @staticmethod
+    def _cut(chunk: str) -> list[str] | None:
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk.lower()]
+        elif not _PLAIN.fullmatch(chunk):
+            return None
+        return None if "<|" in chunk else _WORDS.findall(chunk.lower())
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.words) > REMEMBERED:
+            self.words = {}
+        cut = [*map(self._cut, new)]
+        words = self.words
+        self._learn_words([*set().union(*filter(None, cut)).difference(words)])
+        whole = iter(self._encode([c for c, ws in zip(new, cut, strict=True) if ws is None]))
+        self.ids += [next(whole) if ws is None else words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws]) for ws in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [_CHUNK.findall(t) if _ODD.search(t) else t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = [*set().union(*chunks).difference(known)]
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(got.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, x)) for x in chunks]
+        if len(self.ids) > REMEMBERED:
+            self.numbers, self.ids = _Numbers(), []
+        get = self.numbers.__getitem__
+        numbers = [list(map(get, _CHUNK.findall(t) if _ODD.search(t) else t.split())) for t in texts]
+        new, self.numbers.new = self.numbers.new, []
+        self._learn(new)
+        got = self.ids.__getitem__
+        return [b"".join(map(got, x)) for x in numbers]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
