@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.rows import pick, raw_of, settle
+from glyphmill.llm.rows import pick, positional, raw_of, settle
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -237,13 +237,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     """The documents with n_words, hits (merged word spans, flat) and items (ids of the items with a window that occurs).
 
     Blocks of the benchmark are broadcast one after another; each is of block_bytes of text at most, or one item. Null texts have no
-    words. The added columns go before those of the input; an input with columns of these names must be renamed first.
+    words. The added columns go before those of the input, which are named _c0, _c1, ... here.
     """
     added = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
-    clash = {f.name for f in added} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} of the input clash with those added")
-    at, names = docs.columns.index(text), docs.columns
+    docs, (place,) = positional(docs, text)
+    names = docs.columns
+    at = names.index(place)
     df = docs
     for number, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
         if number:
@@ -294,7 +293,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     df = scan(pick(docs, doc_id, text), benchmark, text, item_id, item_text, window)
     n_hit = F.aggregate(F.transform("hits", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return df.select(
-        F.col(doc_id).alias("doc_id"),
+        F.col("_c0").alias("doc_id"),
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -316,8 +315,8 @@ def cut_words(raw: bytes, hits: list[int]) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents with every merged removal span cut from their text; rows without a hit are unchanged, nulls stay null."""
     df = scan(docs, benchmark, text, item_id, item_text, window)
-    names = docs.columns
-    at = names.index(text)
+    names = df.columns[3:]
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -326,7 +325,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
             if any(hits):
                 texts = columns[at].cast(pa.binary()).to_pylist()
                 cut = [cut_words(t, h) if h else t for t, h in zip(texts, hits, strict=True)]
-                columns[at] = pa.array([None if t is None else t.decode() for t in cut], columns[at].type)
+                columns[at] = pa.array(cut, pa.binary()).cast(columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.mapInArrow(run, docs.schema)
+    return df.mapInArrow(run, T.StructType(df.schema.fields[3:])).toDF(*docs.columns)

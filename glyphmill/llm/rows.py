@@ -15,16 +15,21 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+def positional(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """The input with columns _c0, _c1, ..., and which of those are the named ones (the first of equal names)."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"input has no column {missing}; it has {df.columns}")
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]), [f"_c{df.columns.index(n)}" for n in names]
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, matched by exact name; the first wins among columns of equal name.
 
     Selecting by position keeps names that differ only in case, or that occur twice, from clashing.
     """
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise ValueError(f"input has no column {missing}; it has {df.columns}")
-    plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
-    return plain.select(*[plain[f"_c{df.columns.index(n)}"].alias(n) for n in names])
+    plain, places = positional(df, *names)
+    return plain.select(*[F.col(c).alias(n) for c, n in zip(places, names, strict=True)])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +41,7 @@ def settle(df: DataFrame) -> DataFrame:
 
     The folder is the session's spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one is made.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphmill-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

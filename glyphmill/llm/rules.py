@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.rows import held_out, pick, raw_of
+from glyphmill.llm.rows import held_out, pick, positional, raw_of
 
 #: At most so many labelled documents are learned from, those with the smallest hash of their id.
 MAX_LABELLED = 6000
@@ -235,6 +235,7 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that neither the base rule nor the learned list rejects."""
+    """The documents that neither the base rule nor the learned list rejects, with all their columns, whatever their names."""
     rules = learn_from(docs, labels, doc_id, text)
-    return with_counts(docs, text).where(~base_failed() & verdict(rules).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, (place,) = positional(docs, text)
+    return with_counts(plain, place).where(~base_failed() & verdict(rules).isNull()).select(*plain.columns).toDF(*docs.columns)

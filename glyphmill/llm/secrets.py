@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.crf import Batch, Chain, fit, viterbi
-from glyphmill.llm.rows import buffers_of, pick, slices, texts_of
+from glyphmill.llm.rows import buffers_of, pick, positional, slices, texts_of
 
 #: The field is fitted on at most so many texts that may hold a pattern match and so many others, of at most TRAIN_CHARS characters,
 #: those with the smallest hash; on so many tokens to each side of a match, or so many of a text without. Scans read every token
@@ -311,7 +311,9 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
     """The documents with every span, overlapping ones merged, replaced by the mark. Nulls stay null."""
     held = docs.sparkSession.sparkContext.broadcast(learn_from(docs, doc_id, text))
-    at, names = docs.columns.index(text), docs.columns
+    plain, (place,) = positional(docs, text)
+    names = plain.columns
+    at = names.index(place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(held.value)
@@ -326,7 +328,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: st
                     part = part.set_column(at, names[at], pa.array(new, part.column(at).type))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def _masked(text: str, spans: list[Span], mark: str) -> str:

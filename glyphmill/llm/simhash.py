@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.rows import pick, raw_of, settle
+from glyphmill.llm.rows import pick, positional, raw_of, settle
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
@@ -164,6 +164,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The documents, without those whose component holds a smaller doc_id. Rows with a null doc_id stay."""
+    """The documents, without those whose component holds a smaller doc_id; all columns stay, whatever their names.
+
+    Rows with a null doc_id stay. Rows that repeat a doc_id are one document: they stay or go together.
+    """
     gone = near_duplicates(docs, doc_id, text, shingle).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    plain, (key,) = positional(docs, doc_id)
+    return plain.join(gone, F.col(key) == F.col("_gone"), "left_anti").toDF(*docs.columns)
