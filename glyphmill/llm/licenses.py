@@ -1,8 +1,9 @@
 """License scans by DataFrame operations only: sparse TF-IDF cosine of header passages to templates, then inheritance along paths.
 
-Passages are windows of WIDTHS consecutive lines. A passage whose cosine with a template reaches the threshold holds one of that
-template's cue terms, the heaviest terms, common words last, without which the rest of its vector is shorter than the threshold; so only
-windows that begin at a line with a cue are scored: a line that reaches the threshold is never missed. Equal passages are scored once. Weights are of term frequency times inverse frequency over the templates; terms of no template weigh the most.
+Notice lines are those half of whose terms or more are terms of the templates; passages are windows of WIDTHS consecutive ones. A
+passage whose cosine with a template reaches the threshold holds one of that template's cue terms, the heaviest terms, common words
+last, without which the rest of its vector is shorter than the threshold; so only windows with a cue are scored. Equal passages are
+scored once. Weights are of term frequency times inverse frequency over the templates; terms of no template weigh the most.
 A file without a licence of its own takes that of the nearest directory above it with a licence file.
 """
 
@@ -13,10 +14,11 @@ import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.llm.license_templates import TEMPLATES
-from glyphmill.llm.rows import pick
+from glyphmill.llm.rows import pick, settle
 
 THRESHOLD = 0.75
 WIDTHS = (1, 2, 4, 8, 16)
@@ -62,13 +64,19 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def passages(files: DataFrame, cues: set[str], widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """(key, passage): windows of lines that begin at a line that holds a cue."""
-    cue = "(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(c) for c in sorted(cues)) + ")(?![a-z0-9])"
-    # the generator keeps the split array as a column, so that reading a line of it doesn't split the text again
-    lines = files.where(F.col("text").rlike(cue)).select("key", F.explode(F.array(F.split("text", "\r\n|\n|\r"))).alias("lines"))
-    at = lines.select("key", "lines", F.posexplode("lines").alias("i", "line")).where(F.col("line").rlike(cue))
-    return at.select("key", F.explode(F.array_distinct(F.array(*[F.array_join(F.slice("lines", F.col("i") + 1, w), "\n") for w in widths]))).alias("passage"))
+def passages(files: DataFrame, templates: Templates, threshold: float, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """(key, passage): windows of consecutive notice lines that hold a cue. Half of a notice line's terms or more are of the templates."""
+    cue = "(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(c) for c in sorted(templates.cues(threshold))) + ")(?![a-z0-9])"
+    lines = files.where(F.col("text").rlike(cue)).select("key", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\r\n|\n|\r")).alias("i", "line"))
+    terms = F.regexp_extract_all(lower_ascii(F.col("line")), F.lit(TERM), F.lit(0))
+    inside = F.size(F.filter(terms, lambda t: t.isin(*sorted(templates.idf))))
+    notice = lines.where((inside > 0) & (2 * inside >= F.size(terms)))
+    runs = notice.withColumn("run", F.col("i") - F.dense_rank().over(W.partitionBy("key", "h").orderBy("i")))
+    runs = runs.groupBy("key", "h", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]).alias("lines"))
+    # the generator keeps the lines as a column for the windows
+    at = runs.select("key", F.explode(F.array("lines")).alias("lines")).select("key", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("i"))
+    windows = F.filter(F.array(*[F.when(F.col("i") + (w - 1) <= F.size("lines"), F.array_join(F.slice("lines", F.col("i"), w), "\n")) for w in widths]), lambda x: x.isNotNull())
+    return at.select("key", F.explode(windows).alias("passage")).where(F.col("passage").rlike(cue))
 
 
 def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -78,7 +86,7 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     weights = spark.createDataFrame([(k, term, x) for k, v in enumerate(t.vectors) for term, x in sorted(v.items())], "template int, term string, weight double")
     idf = spark.createDataFrame(sorted(t.idf.items()), "term string, idf double")
     names = spark.createDataFrame(list(enumerate(t.names)), "template int, licence string")
-    found = passages(files, t.cues(threshold)).distinct()
+    found = settle(passages(files, t, threshold).distinct())
     texts = found.select("passage").distinct()
     terms = texts.select("passage", F.explode(F.regexp_extract_all(lower_ascii(F.col("passage")), F.lit(TERM), F.lit(0))).alias("term")).groupBy("passage", "term").agg(F.count("*").alias("tf"))
     vector = terms.join(F.broadcast(idf), "term", "left").select("passage", "term", (F.col("tf") * F.coalesce("idf", F.lit(t.idf_else))).alias("x"))
