@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.rows import pick, positional, raw_of, settle
+from glyphmill.llm.rows import map_batches, parts_of, pick, positional, raw_of, settle
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Text of the benchmark held at once; a larger one is searched in several passes.
 BLOCK_BYTES = 32 << 20
 SAMPLE = 8
@@ -251,27 +251,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
         def run(batches: Iterator[pa.RecordBatch], skip: int = 3 * bool(number), held=held) -> Iterator[pa.RecordBatch]:
             phrases = held.value
-            for b in batches:
-                raws = raw_of(b.column(at + skip))
-                n_words, hits, items = [], [], []
-                i = 0
-                while i < len(raws):
-                    j, size = i + 1, len(raws[i])
-                    while j < len(raws) and size + len(raws[j]) <= SHARD_BYTES:
-                        size += len(raws[j])
-                        j += 1
-                    shard = [words_of(x) for x in raws[i:j]]
-                    firsts = np.concatenate([[0], np.cumsum([len(x) for x in shard])])
-                    opens, closes, found = phrases.find(shard)
-                    spans: list[list[tuple[int, int]]] = [[] for _ in shard]
-                    for s, e in zip(opens.tolist(), closes.tolist(), strict=True):
-                        d = int(np.searchsorted(firsts, s, side="right")) - 1
-                        spans[d].append((s - int(firsts[d]), e - int(firsts[d])))
-                    of = dict(found)
-                    n_words += [len(x) for x in shard]
-                    hits += spans
-                    items += [of.get(k, []) for k in range(len(shard))]
-                    i = j
+            for b in parts_of(batches, at + skip, SHARD_BYTES):
+                shard = [words_of(x) for x in raw_of(b.column(at + skip))]
+                firsts = np.concatenate([[0], np.cumsum([len(x) for x in shard])]).astype(np.int64)
+                opens, closes, found = phrases.find(shard)
+                hits: list[list[tuple[int, int]]] = [[] for _ in shard]
+                for s, e, d in zip(opens.tolist(), closes.tolist(), (np.searchsorted(firsts, opens, side="right") - 1).tolist(), strict=True):
+                    hits[d].append((s - int(firsts[d]), e - int(firsts[d])))
+                of = dict(found)
+                items = [of.get(k, []) for k in range(len(shard))]
+                n_words = [len(x) for x in shard]
+                del shard
                 if skip:
                     for k, (old, ids) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                         hits[k] = _merge(hits[k] + list(zip(old[::2], old[1::2], strict=True)))
@@ -280,7 +270,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                 new = [pa.array(n_words, pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*new, *b.columns[skip:]], names=[f.name for f in added] + names)
 
-        df = df.mapInArrow(run, T.StructType([*added, *docs.schema.fields]))
+        df = map_batches(df, run, T.StructType([*added, *docs.schema.fields]))
     return df
 
 
@@ -328,4 +318,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 columns[at] = pa.array(cut, pa.binary()).cast(columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.mapInArrow(run, T.StructType(df.schema.fields[3:])).toDF(*docs.columns)
+    return map_batches(df, run, T.StructType(df.schema.fields[3:])).toDF(*docs.columns)

@@ -24,30 +24,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.llm.cutting import solve
-from glyphmill.llm.rows import buffers_of, pick, settle, slices, texts_of
+from glyphmill.llm.rows import buffers_of, map_batches, pick, settle, slices, texts_of
 
 CAPACITY = 4096
 UNIT = 8
 END_ID = 2
 #: Chunks whose ids a task remembers; then it forgets them all.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 #: Python splits at these, the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 _CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
 
 
-@lru_cache(2)
-def _tokenizers(spec: str):
-    """The tokenizer; one that takes words as its byte-level step leaves them; and which ids end a word."""
+@lru_cache(1)
+def _whole(spec: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(spec)
+
+
+@lru_cache(1)
+def _by_word(spec: str):
+    """The tokenizer that takes words as the whole one's byte-level step leaves them, and which ids end a word."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_str(spec)
     plain = json.loads(spec) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
-    ends = np.zeros(whole.get_vocab_size() + 1, bool)
+    ends = np.zeros(max(plain["model"]["vocab"].values()) + 1, bool)
     ends[[k for token, k in plain["model"]["vocab"].items() if token.endswith("</w>")]] = True
-    return whole, Tokenizer.from_str(json.dumps(plain)), ends
+    return Tokenizer.from_str(json.dumps(plain)), ends
 
 
 def _byte_characters() -> dict[int, str]:
@@ -86,11 +93,13 @@ class ChunkTokenizer:
     """
 
     def __init__(self, spec: str):
-        self.whole, self.plain, self.ends = _tokenizers(spec)
+        self.spec, (self.plain, self.ends) = spec, _by_word(spec)
         self.numbers, self.ids, self.words = _Numbers(), [], {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        if not texts:
+            return []
+        return [np.array(x.ids, "<u4").tobytes() for x in _whole(self.spec).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_words(self, new: list[str]) -> None:
         visible = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(_VISIBLE) for w in new]
@@ -171,7 +180,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return df.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, size int, nth bigint" + ", ids array<bigint>" * keep_ids)
+    return map_batches(df, run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, size int, nth bigint" + ", ids array<bigint>" * keep_ids)
 
 
 def _dealing(plan: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, int, int]]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.crf import Batch, Chain, fit, marginals, minimise
-from glyphmill.llm.rows import buffers_of, held_out, pick, slices
+from glyphmill.llm.rows import buffers_of, held_out, map_batches, pick, slices
 
 #: The field is fitted on at most so many labelled documents, those with the smallest hash of their id, and on at most so many
 #: lines of each. Scoring reads every line of every document.
@@ -195,7 +195,7 @@ def learn_from(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
                 some = [slice(e - n, min(e, e - n + max_lines)) for e, n in zip(ends.tolist(), lines.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([x[s].ravel() for s in some], pa.list_(pa.float64())), pa.array([chars[s] for s in some], pa.list_(pa.float64()))], ["h", "good", "x", "chars"])
 
-    rows = sample.mapInArrow(run, "h bigint, good int, x array<double>, chars array<double>").dropDuplicates(["h"]).toArrow().sort_by("h")
+    rows = map_batches(sample, run, "h bigint, good int, x array<double>, chars array<double>").dropDuplicates(["h"]).toArrow().sort_by("h")
     if not rows.num_rows:
         return train(np.zeros((0, N_OWN)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool))
     chars = rows["chars"].combine_chunks()
@@ -222,5 +222,5 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 share = model.good_share(*line_features(data, offsets[i : j + 1]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(model.score(share)), pa.array(share)], ["doc_id", "score", "good_share"])
 
-    scored = df.mapInArrow(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, score double, good_share double")
+    scored = map_batches(df, run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, score double, good_share double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "good_share")

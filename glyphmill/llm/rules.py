@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.rows import held_out, pick, positional, raw_of
+from glyphmill.llm.rows import held_out, map_batches, parts_of, pick, positional, raw_of
 
 #: At most so many labelled documents are learned from, those with the smallest hash of their id.
 MAX_LABELLED = 6000
@@ -77,11 +77,11 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     at, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts_of(batches, at):
             table = np.array([counts_of(x) for x in raw_of(b.column(at))], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(len(COUNTS))] + b.columns, names=[f"_{c}" for c in COUNTS] + names)
 
-    return docs.mapInArrow(run, T.StructType([*(T.StructField(f"_{c}", T.LongType()) for c in COUNTS), *docs.schema.fields]))
+    return map_batches(docs, run, T.StructType([*(T.StructField(f"_{c}", T.LongType()) for c in COUNTS), *docs.schema.fields]))
 
 
 #: What rules may speak of, each a ratio of two counts, or a count itself.

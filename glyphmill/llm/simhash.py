@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.rows import pick, positional, raw_of, settle
+from glyphmill.llm.rows import map_batches, parts_of, pick, positional, raw_of, settle
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
@@ -61,11 +61,11 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     kind = df.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts_of(batches, 1):
             fp = np.fromiter((fingerprint(x, shingle) for x in raw_of(b.column(1))), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return df.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return map_batches(df, run, f"doc_id {kind}, fp bigint")
 
 
 def _signed(mask: int) -> int:
@@ -123,7 +123,7 @@ def links(fps: DataFrame) -> DataFrame:
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
-    return postings(fps).select("slot", "members").mapInArrow(run, "u bigint, v bigint").distinct()
+    return map_batches(postings(fps).select("slot", "members"), run, "u bigint, v bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from glyphmill.llm.rows import buffers_of, pick, slices, texts_of
+from glyphmill.llm.rows import buffers_of, map_batches, pick, slices, texts_of
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -144,4 +144,4 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id"
                 got = [counter.count(t) for t in texts]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.float64()), pa.array(map(len, texts), pa.int64())], ["doc_id", "n_tokens", "score", "n_chars"])
 
-    return df.mapInArrow(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_tokens bigint, score double, n_chars bigint")
+    return map_batches(df, run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_tokens bigint, score double, n_chars bigint")

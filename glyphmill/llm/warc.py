@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.rows import pick, raw_of, settle, shared_folder
+from glyphmill.llm.rows import map_batches, pick, raw_of, settle, shared_folder
 
 #: Payloads of at least so many bytes are written once; later equals revisit.
 LEAST_BYTES = 1000
@@ -202,7 +202,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         if out is not None:
             yield close()
 
-    written = p.mapInArrow(run, "archive string, records bigint, bytes bigint, content binary")
+    written = map_batches(p, run, "archive string, records bigint, bytes bigint, content binary")
     if local:
         return settle(written.drop("content"))
     written.write.parquet(f"{folder}/archives")
@@ -247,7 +247,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
         names = [x.split()[0] for x in _READ.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    return archives.select("content" if inside else "archive").mapInArrow(run, _READ)
+    return map_batches(archives.select("content" if inside else "archive"), run, _READ)
 
 
 def read_files(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
