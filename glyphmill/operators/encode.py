@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.functions import distances
 from glyphmill.functions.lexicon import CLUSTERS, FALLBACK, PREFIXES, RANGES, SLOT_OF, SUFFIXES, Lexicon
+from glyphmill.functions.storage import settle
 
 REGISTRY = "word string, id int, cluster string, method string"
 #: More words of a cluster than there are numbers can't get one, so no more are ranked.
@@ -111,14 +111,14 @@ def register(unknown: DataFrame, lexicon: Lexicon, registry: DataFrame | None =
 
     unknown: (word, seen), seen being where the word came first; anything that sorts. Words of the registry keep their entries. A word
     whose cluster has no number left goes to the fallback cluster, behind the words of that cluster that came before it; once that is
-    full too, its id is null. With unbounded, such a word keeps its cluster and a null id. The resolved words are kept (persist), since
+    full too, its id is null. With unbounded, such a word keeps its cluster and a null id. The resolved words are checkpointed, since
     numbering reads them several times; they are as many as there are distinct unknown words.
     """
     spark = unknown.sparkSession
     new = unknown if registry is None else unknown.join(registry.select("word"), "word", "left_anti")
     base = _bases(spark, lexicon, registry)
     # ranks beyond a cluster's numbers aren't needed, so the window's limit drops them before the shuffle
-    found = resolve(new.select("word", "seen"), lexicon).persist(StorageLevel.MEMORY_AND_DISK)
+    found = settle(resolve(new.select("word", "seen"), lexicon))
     own = W.partitionBy("cluster").orderBy("seen", "word")
     ranked = found.withColumn("rn", F.row_number().over(own)).where(F.col("rn") <= CAPACITY).join(F.broadcast(base), "cluster")
     fits = ranked.where((F.col("cluster") != FALLBACK) & (F.col("top") + F.col("rn") <= F.col("hi"))).select("word", (F.col("top") + F.col("rn")).cast("int").alias("id"), "cluster", "method")

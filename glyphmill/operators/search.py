@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import distances, tokens
 from glyphmill.functions.lexicon import GENERAL, RANGES, SLOT_WEIGHTS, Lexicon
+from glyphmill.functions.storage import settle
 from glyphmill.operators import encode, stats
 from glyphmill.operators.bm25 import ranked
 
@@ -194,11 +195,11 @@ class Store:
     def build(self) -> Store:
         if self.docs is None:
             raise RuntimeError("nothing was added")
-        self.idf = stats.idf(self.docs).cache()
-        self.cooc = stats.cooccurrence(self.docs)
-        self.clusters = stats.word_clusters(self.cooc, self.n_clusters).cache()
-        self.registry = encode.register(encode.unknown_words(encode.tokens(self.docs, self.lexicon)), self.lexicon).cache()
-        self.indexed = index(self.docs, self.lexicon, self.registry, self.idf, self.clusters).cache()
+        self.idf = settle(stats.idf(self.docs))
+        self.cooc = settle(stats.cooccurrence(self.docs))
+        self.clusters = settle(stats.word_clusters(self.cooc, self.n_clusters))
+        self.registry = settle(encode.register(encode.unknown_words(encode.tokens(self.docs, self.lexicon)), self.lexicon))
+        self.indexed = settle(index(self.docs, self.lexicon, self.registry, self.idf, self.clusters))
         return self
 
     def _queries(self, queries: DataFrame) -> DataFrame:
@@ -207,7 +208,7 @@ class Store:
         q = queries.select(F.col("query_id").alias("doc_id"), F.col("query_text").alias("text"))
         t = encode.tokens(q, self.lexicon)
         registry = encode.register(encode.unknown_words(t), self.lexicon, self.registry)
-        return as_queries(index(q, self.lexicon, registry, self.idf, self.clusters))
+        return settle(as_queries(index(q, self.lexicon, registry, self.idf, self.clusters)))
 
     def search(self, queries: DataFrame, k: int = 10, threshold: float = 100.0, radius: int = ZONE, excluded: DataFrame | None = None) -> DataFrame:
         return clustered(self._queries(queries), self.indexed, k, threshold, radius, excluded, weighted=True)

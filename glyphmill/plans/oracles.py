@@ -250,7 +250,7 @@ LEARNED = [
 def _zoned(pool: str, name: str) -> list[str]:
     return [
         f"{name}_s AS (SELECT s.*, p.pool, z.doc_id IS NOT NULL AS inside FROM shared s JOIN {pool} p USING (query_id, doc_id) LEFT JOIN zone z ON z.query_id = s.query_id AND z.doc_id = s.doc_id)",
-        f"{name} AS (SELECT * FROM (SELECT *, bool_or(inside) OVER (PARTITION BY query_id) AS some FROM {name}_s) WHERE inside OR NOT some)",
+        f"{name} AS (SELECT * FROM (SELECT *, bool_or(inside) OVER (PARTITION BY query_id) AS some_ FROM {name}_s) WHERE inside OR NOT some_)",
     ]
 
 

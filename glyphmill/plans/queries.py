@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import distances, tokens
 from glyphmill.functions.lexicon import Lexicon
+from glyphmill.functions.storage import settle, shared_folder
 from glyphmill.operators import bm25, encode, energy, evaluate, factor, neighborhoods, search, stats
 from glyphmill.sources import ndjson, synthetic
 
@@ -81,8 +82,8 @@ def word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cooc = stats.cooccurrence(turns(spark, sf_dir))
-    return cooc, stats.word_clusters(cooc, N_CLUSTERS).persist()
+    cooc = settle(stats.cooccurrence(turns(spark, sf_dir)))
+    return cooc, settle(stats.word_clusters(cooc, N_CLUSTERS))
 
 
 def word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +131,8 @@ def _traced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 
 def _registries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    first = _unknown_of_all(spark, sf_dir).persist()
-    return first, encode.register(encode.unknown_words(encode.tokens(_as_docs(items(spark, sf_dir)), LEXICON)), LEXICON, first).persist()
+    first = settle(_unknown_of_all(spark, sf_dir))
+    return first, settle(encode.register(encode.unknown_words(encode.tokens(_as_docs(items(spark, sf_dir)), LEXICON)), LEXICON, first))
 
 
 def blueprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,10 +143,10 @@ def _indexes(spark: SparkSession, sf_dir: str, learned: bool = False) -> tuple[D
     """Indexes of turns and items; with `learned`, weights, domains and clusters too."""
     d, q = turns(spark, sf_dir), _as_docs(items(spark, sf_dir))
     first, both = _registries(spark, sf_dir)
-    idf_ = stats.idf(d) if learned else None
+    idf_ = settle(stats.idf(d)) if learned else None
     clusters = _clusters(spark, sf_dir)[1] if learned else None
-    docs = search.index(d, LEXICON, first, idf_, clusters).persist()
-    queries = search.as_queries(search.index(q, LEXICON, both, idf_, clusters)).persist()
+    docs = settle(search.index(d, LEXICON, first, idf_, clusters))
+    queries = settle(search.as_queries(search.index(q, LEXICON, both, idf_, clusters)))
     return queries, docs
 
 
@@ -222,7 +223,7 @@ def search_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def excluded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The session's second page: what the first search gave is excluded."""
     q, d = _indexes(spark, sf_dir, True)
-    first = search.clustered(q, d, k=5, weighted=True)
+    first = settle(search.clustered(q, d, k=5, weighted=True))
     return search.clustered(q, d, k=5, weighted=True, excluded=first)
 
 
@@ -404,8 +405,7 @@ def ndjson_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = turns(spark, sf_dir)
     reg = _unknown_of_all(spark, sf_dir)
     recs = ndjson.records(encode.encode(d, LEXICON, reg), d, encode.semantic_group(encode.trace(d, LEXICON, reg)))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder}/ndjson-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/ndjson-{uuid.uuid4().hex}"
     ndjson.append(recs, path)
     return ndjson.read(spark, path).select("id", "len", "hash")
 
