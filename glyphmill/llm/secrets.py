@@ -9,24 +9,25 @@ tokens are decoded together.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.crf import Batch, Chain, fit, viterbi
-from glyphmill.llm.rows import buffers_of, pick, positional, slices, texts_of
+from glyphmill.llm.rows import buffers_of, map_batches, pick, positional, slices, texts_of
 
 #: The field is fitted on at most so many texts that may hold a pattern match and so many others, of at most TRAIN_CHARS characters,
 #: those with the smallest hash; on so many tokens to each side of a match, or so many of a text without. Scans read every token
 #: of every text.
 MAX_MATCHED, MAX_CLEAN, TRAIN_CHARS = 400, 1200, 20_000
 AROUND, CLEAN_TOKENS = 25, 60
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 
 KINDS = ["assign", "access", "hex", "crf"]
 #: The patterns of the three base kinds, and the words that may open an assignment.
@@ -217,8 +218,15 @@ def learn_from(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_
     """Fits on the texts themselves: pattern matches are the labels."""
     t = pick(docs, doc_id, text).select(F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("t")).where(F.length("t") <= TRAIN_CHARS)
     low = F.lower("t")
-    near = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api_key") | low.contains("apikey") | F.col("t").contains("AKIA")
-    chosen = {row.t: None for side, most in ((near, max_matched), (~near, max_clean)) for row in t.where(side).orderBy("h", "t").limit(most).collect()}
+    near: Column = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api_key") | low.contains("apikey") | F.col("t").contains("AKIA")
+    counts = t.agg(F.count_if(near).alias("near"), F.count_if(~near).alias("far")).first()
+    # half as many again as wanted come to the driver, whatever the corpus holds, by shares of the hash's range
+    place = F.pmod("h", F.lit(1 << 31))
+    share = {True: (counts.near, max_matched), False: (counts.far, max_clean)}
+    wide = {side: min(1 << 31, math.ceil(1.5 * (most + 20) / max(1, n) * (1 << 31))) for side, (n, most) in share.items()}
+    some = t.where((near & (place < wide[True])) | (~near & (place < wide[False]))).groupBy("h").agg(F.min(F.struct("t", near.alias("near"))).alias("x"))
+    rows = sorted((r.h % (1 << 31), r.x.t, r.x.near) for r in some.collect())
+    chosen = dict.fromkeys([x for _, x, side in rows if side][:max_matched] + [x for _, x, side in rows if not side][:max_clean])
     return train([*chosen])
 
 
@@ -304,7 +312,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                 base = pa.array([joined([x for x in s if x[0] != "crf"]) for s in spans], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *counts, base, pa.array([joined(s) for s in spans], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"])
 
-    found = df.mapInArrow(run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_assign bigint, n_access bigint, n_hex bigint, n_crf bigint, base string, spans string")
+    found = map_batches(df, run, f"doc_id {df.schema[doc_id].dataType.simpleString()}, n_assign bigint, n_access bigint, n_hex bigint, n_crf bigint, base string, spans string")
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_crf")
 
 
@@ -328,7 +336,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: st
                     part = part.set_column(at, names[at], pa.array(new, part.column(at).type))
                 yield part
 
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return map_batches(plain, run, plain.schema).toDF(*docs.columns)
 
 
 def _masked(text: str, spans: list[Span], mark: str) -> str:
