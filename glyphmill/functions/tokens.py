@@ -25,7 +25,7 @@ def words(text: Column) -> Column:
 
 def letters(text: Column) -> Column:
     """Runs of two or more letters a to z that stand alone, of the lower-cased text."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b[a-z]{2,}\b"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b[a-z]{2,}\b"), F.lit(0))
 
 
 def vector_terms(text: Column) -> Column:

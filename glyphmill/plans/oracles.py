@@ -43,6 +43,10 @@ def _words(text: str) -> str:
     return f"list_transform({_raw(text)}, lambda x: trim(x, '.,!?;:\"''()'))"
 
 
+def _letters(text: str) -> str:
+    return f"list_filter(regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: regexp_matches(x, '^[a-z]{{2,}}$'))"
+
+
 def _content(text: str, stop: list[str]) -> str:
     words = f"list_transform(list_filter({_raw(text)}, lambda x: length(x) > 2), lambda x: trim(x, '.,!?;:\"''()'))"
     return f"list_filter({words}, lambda x: x NOT IN ({', '.join(map(_q, stop))}))"
@@ -429,7 +433,7 @@ ORACLES: dict[str, str] = {
     "concept_graph": _with(*CONCEPTS, select="SELECT src, dst, n, round(w, 6) AS w FROM edges"),
     "concept_weights": _with(*CONCEPTS, select="SELECT cid, df, round(idf, 6) AS idf, round(genericity, 6) AS genericity FROM freq"),
     "diffuse_energy": _with(
-        ITEMS, *CONCEPTS, "e0 AS (SELECT query_id, cid, count(*)::DOUBLE AS energy FROM (SELECT query_id, unnest(regexp_extract_all(lower(query_text), '\\b[a-z]{2,}\\b')) AS word FROM items) JOIN clusters USING (word) GROUP BY ALL)",
+        ITEMS, *CONCEPTS, "e0 AS (SELECT query_id, cid, count(*)::DOUBLE AS energy FROM (SELECT query_id, unnest(" + _letters("query_text") + ") AS word FROM items) JOIN clusters USING (word) GROUP BY ALL)",
         *_diffused("e0", "edges", "e"), select="SELECT query_id, cid, round(energy, 6) AS energy FROM e",
     ),
     "energy_search": _with(*ROW_ENERGY, *_diffused("e0", "edges", "e"), *_ranked("e", "rowc", 10, "top"), select="SELECT query_id, rank, doc_id, score FROM top"),
@@ -440,7 +444,11 @@ ORACLES: dict[str, str] = {
         *ROW_ENERGY, "ed0 AS (SELECT doc_id AS query_id, value AS cid, sum(coalesce(idf, 1.0)) AS energy FROM qbp LEFT JOIN freq ON freq.cid = value GROUP BY ALL)", *_diffused("ed0", "edges", "ed"),
         "edw AS (SELECT query_id, cid, energy * coalesce(idf, 1.0) * coalesce(genericity, 1.0) AS energy FROM ed LEFT JOIN freq USING (cid))", *_ranked("edw", "rowc", 10, "top"), select="SELECT query_id, rank, doc_id, score FROM top",
     ),
-    "direct_energy": None,  # its own word pattern: \b in RE2 is of ASCII letters, so accented neighbours split words differently
+    "direct_energy": _with(
+        ITEMS, *_clusters(), f"concepts AS (SELECT DISTINCT doc_id, cid FROM (SELECT doc_id, unnest({_letters('text')}) AS word FROM turns) JOIN clusters USING (word))", CONCEPTS[-2],
+        f"e0 AS (SELECT query_id, cid, count(*)::DOUBLE AS energy FROM (SELECT query_id, unnest({_letters('query_text')}) AS word FROM items) JOIN clusters USING (word) GROUP BY ALL)",
+        *_diffused("e0", "edges", "e"), *_ranked("e", "concepts", 20, "top"), select="SELECT query_id, rank, doc_id, score FROM top",
+    ),
     "metrics": _with(*_metrics("rel"), select=f"SELECT query_id, {_ROUNDED} FROM m"),
     "metrics_macro": _with(*_metrics("rel"), select="SELECT count(*) AS n_queries, " + ", ".join(f"round(avg({c}), 5) AS {c}" for c in ("ndcg", "ap", "rr", "precision", "recall")) + " FROM m"),
     "binary_ndcg": _with(*_metrics("(CASE WHEN rel > 0 THEN 1 ELSE 0 END)"), select="SELECT query_id, round(ndcg, 5) AS ndcg FROM m"),
@@ -483,5 +491,4 @@ ORACLES: dict[str, str] = {
         TURNS, *_tokens("turns", "tok"), "n AS (SELECT doc_id, count(*)::INT AS len FROM tok GROUP BY 1)", select="SELECT row_number() OVER (ORDER BY doc_id) AS id, coalesce(len, 0) AS len, substring(md5(coalesce(text, '')), 1, 8) AS hash FROM turns LEFT JOIN n USING (doc_id)"
     ),
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}
 assert set(DOMAINS) <= set(SLOT_WEIGHTS)
