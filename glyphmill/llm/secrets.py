@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.crf import Batch, Chain, fit, viterbi
-from glyphmill.llm.rows import buffers_of, map_batches, pick, positional, slices, texts_of
+from glyphmill.llm.rows import buffers_of, map_batches, pick, positional, slices, texts_of, trim
 
 #: The field is fitted on at most so many texts that may hold a pattern match and so many others, of at most TRAIN_CHARS characters,
 #: those with the smallest hash; on so many tokens to each side of a match, or so many of a text without. Scans read every token
@@ -181,37 +181,38 @@ class Tagger:
         return state
 
 
-def _window_rows(text: str, spans: list[Span]) -> tuple[list[list[float]], list[int], list[int]]:
+def _window_rows(text: str, spans: list[Span]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and states of the tokens in the windows of a text, and the windows' lengths."""
     places = [m.span() for m in re.finditer(r"\S+", text)]
-    if not places:
-        return [], [], []
-    shapes = [shape_features(text[s:e]) for s, e in places]
+    n = len(places)
+    shapes = np.array([shape_features(text[s:e]) for s, e in places], np.float32).reshape(n, N_SHAPE)
     of = [next((k for k, (_, s, e) in enumerate(spans) if a < e and b > s), -1) for a, b in places]
-    states = [0 if k < 0 else 1 if not i or of[i - 1] != k else 2 for i, k in enumerate(of)]
-    whole = file_features(sum(x[16] > 0 for x in shapes), sum(x[-6] > 0 for x in shapes), len(places))
+    states = np.array([0 if k < 0 else 1 if not i or of[i - 1] != k else 2 for i, k in enumerate(of)], np.int64)
+    wanted = np.zeros(n, bool)
     if spans:
-        wanted = sorted({j for i, k in enumerate(of) if k >= 0 for j in range(max(0, i - AROUND), min(len(of), i + AROUND + 1))})
+        for i in np.nonzero(states)[0].tolist():
+            wanted[max(0, i - AROUND) : i + AROUND + 1] = True
     else:
-        wanted = list(range(min(len(of), CLEAN_TOKENS)))
-    none = [0.0] * N_SHAPE
-    x = [shapes[i] + (shapes[i - 1] if i else none) + (shapes[i + 1] if i + 1 < len(shapes) else none) + whole for i in wanted]
-    cuts = [i for i in range(len(wanted)) if not i or wanted[i] != wanted[i - 1] + 1]
-    return x, [states[i] for i in wanted], np.diff([*cuts, len(wanted)]).tolist()
+        wanted[:CLEAN_TOKENS] = True
+    none = np.zeros((1, N_SHAPE), np.float32)
+    padded = np.concatenate([none, shapes, none])
+    whole = np.array(file_features(int((shapes[:, 16] > 0).sum()), int((shapes[:, -6] > 0).sum()), n), np.float32)
+    at = np.nonzero(wanted)[0]
+    x = np.concatenate([padded[at + 1], padded[at], padded[at + 2], np.tile(whole, (len(at), 1))], 1)
+    cuts = np.nonzero(np.diff(at, prepend=-2) != 1)[0]
+    return x, states[at], np.diff(np.append(cuts, len(at)))
 
 
 def train(texts: list[str]) -> Tagger:
     """From texts of which some have pattern matches; if none has, the tagger tags nothing."""
-    x, states, lengths = [], [], []
-    for text in texts:
-        a, b, c = _window_rows(text, base_spans(text))
-        x += a
-        states += b
-        lengths += c
     width = 3 * N_SHAPE + N_FILE
-    if not any(states):
+    windows = [_window_rows(t, base_spans(t)) for t in texts]
+    if not any(states.any() for _, states, _ in windows):
         first = np.array([0.0, -20.0, -20.0])
         return Tagger(Chain(np.zeros((width, 3)), np.tile(first, (3, 1)), first))
-    return Tagger(fit(np.array(x), np.array(states), np.array(lengths), 3, l2=0.3))
+    x, states, lengths = (np.concatenate(part) for part in zip(*windows, strict=True))
+    del windows
+    return Tagger(fit(x, states, lengths, 3, l2=0.3))
 
 
 def learn_from(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_matched: int = MAX_MATCHED, max_clean: int = MAX_CLEAN) -> Tagger:
@@ -227,7 +228,9 @@ def learn_from(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_
     some = t.where((near & (place < wide[True])) | (~near & (place < wide[False]))).groupBy("h").agg(F.min(F.struct("t", near.alias("near"))).alias("x"))
     rows = sorted((r.h % (1 << 31), r.x.t, r.x.near) for r in some.collect())
     chosen = dict.fromkeys([x for _, x, side in rows if side][:max_matched] + [x for _, x, side in rows if not side][:max_clean])
-    return train([*chosen])
+    tagger = train([*chosen])
+    trim()
+    return tagger
 
 
 @dataclass
