@@ -34,8 +34,12 @@ def knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), counts
 
 
-def relaxed(demand: np.ndarray, capacity: int, gap: float = GAP, most: int = 20_000) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often each is used in a nearly optimal solution of the linear program. demand[s - 1]: pieces of size s."""
+def relaxed(demand: np.ndarray, capacity: int, gap: float = GAP, most: int = 4000) -> list[tuple[np.ndarray, float]]:
+    """Patterns and how often each is used in a nearly optimal solution of the linear program. demand[s - 1]: pieces of size s.
+
+    It ends once the objective is within the gap, or a quarter of a stock, of the best bound, or hasn't fallen for as many rounds as
+    there are sizes: a degenerate basis can turn without end.
+    """
     sizes = np.nonzero(demand)[0] + 1
     n = len(sizes)
     if not n:
@@ -44,7 +48,12 @@ def relaxed(demand: np.ndarray, capacity: int, gap: float = GAP, most: int = 20_
     per = capacity // sizes
     columns, costs = np.diag(per.astype(np.float64)), np.ones(n)
     inverse, x = np.diag(1.0 / per), b / per
+    bound, lowest, stale = 0.0, np.inf, 0
     for turn in range(1, most + 1):
+        objective = float(costs @ x)
+        lowest, stale = (objective, 0) if objective < lowest * (1 - 1e-7) else (lowest, stale + 1)
+        if stale > n + 20:
+            break
         duals = costs @ inverse
         down = int(duals.argmin())
         if duals[down] < -1e-9:
@@ -54,7 +63,8 @@ def relaxed(demand: np.ndarray, capacity: int, gap: float = GAP, most: int = 20_
             values = np.zeros(capacity)
             values[sizes - 1] = np.maximum(duals, 0)
             value, counts = knapsack(values, capacity)
-            if value <= 1 + 1e-9 or float(costs @ x) * (1 - 1 / value) <= gap * float(costs @ x):
+            bound = max(bound, objective / value)
+            if value <= 1 + 1e-9 or objective - bound <= max(gap * objective, 0.25):
                 break
             entering, cost = counts[sizes - 1].astype(np.float64), 1.0
         d = inverse @ entering
