@@ -80,7 +80,7 @@ def relaxed(demand: np.ndarray, capacity: int, gap: float = GAP, most: int = 400
         inverse = inverse - np.outer(d, row)
         inverse[out] = row
         columns[:, out], costs[out] = entering, cost
-        if turn % 200 == 0:
+        if turn % 500 == 0:
             inverse = np.linalg.inv(columns)
             x = np.maximum(inverse @ b, 0)
     patterns = []
