@@ -95,7 +95,7 @@ def test_defined_results(docs, labels, benchmark):
     tokens = {r.doc_id: r for r in OPERATORS["tokencount"](docs, labels, benchmark).collect()}
     assert tokens[2].n_tokens == tokens[3].n_tokens == 0
     found = {r.doc_id: r for r in OPERATORS["secrets"](docs, labels, benchmark).collect()}
-    assert found[7].n_assign == 1 and found[7].spans.startswith("assign:0:21") and found[2].spans == ""
+    assert found[7].n_assign == 1 and found[7].spans.startswith("assign:0:22") and found[2].spans == ""
     redacted = {r[0]: r[1] for r in OPERATORS["redact"](docs, labels, benchmark).collect()}
     assert redacted[7].startswith("[secret] ") and redacted[2] is None
     shards = OPERATORS["sharding"](docs, labels, benchmark)
