@@ -14,7 +14,6 @@ from glyphmill.functions import distances, tokens
 from glyphmill.functions.lexicon import GENERAL, RANGES, SLOT_WEIGHTS, Lexicon
 from glyphmill.functions.storage import settle
 from glyphmill.operators import encode, stats
-from glyphmill.operators.bm25 import ranked
 
 ZONE = 150
 
