@@ -7,7 +7,6 @@ import re
 import zlib
 from collections import Counter
 
-import ahocorasick  # noqa: F401
 import numpy as np
 import public_tokenizers
 import pytest
