@@ -1,9 +1,11 @@
 """License scans by DataFrame operations only: sparse TF-IDF cosine of header passages to templates, then inheritance along paths.
 
-Notice lines are those half of whose terms or more are terms of the templates; passages are windows of WIDTHS consecutive ones. A
-passage whose cosine with a template reaches the threshold holds one of that template's cue terms, the heaviest terms, common words
-last, without which the rest of its vector is shorter than the threshold; so only windows with a cue are scored. Equal passages are
-scored once. Weights are of term frequency times inverse frequency over the templates; terms of no template weigh the most.
+Passages are all windows of consecutive lines, lines without a term left out, of at most as many lines as the longest template has
+terms. A window whose cosine with a template reaches the threshold, cut to begin and end at lines with a term of that template, has no
+smaller cosine; its terms hold the square of the threshold of the template's squared weights; and the part of it outside the template
+is short beside its dot product. The latter two are bounded by sums over lines, so that only windows which can reach the threshold are
+scored, each beside its file's lines and never stored; no window that reaches the threshold is missed. Weights are of term frequency
+times inverse frequency over the templates; terms of no template weigh the most.
 A file without a licence of its own takes that of the nearest directory above it with a licence file.
 """
 
@@ -21,7 +23,6 @@ from glyphmill.llm.license_templates import TEMPLATES
 from glyphmill.llm.rows import pick, settle
 
 THRESHOLD = 0.75
-WIDTHS = (1, 2, 4, 8, 16)
 TERM = "[a-z0-9]+(?:\\.[0-9]+)*"
 #: Common words, which serve as cues only where nothing else is left.
 COMMON = "a all an and any are as at be by for from if in is it its may not of on or that the this to use with you".split()
@@ -42,6 +43,7 @@ class Templates:
         df = Counter(t for c in counts for t in c)
         self.idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in df.items()}
         self.idf_else = math.log(1 + len(counts)) + 1
+        self.longest = max((sum(c.values()) for c in counts), default=0)
         self.vectors = []
         for c in counts:
             v = {t: n * self.idf[t] for t, n in c.items()}
@@ -64,38 +66,58 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def passages(files: DataFrame, templates: Templates, threshold: float, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """(key, passage): windows of consecutive notice lines that hold a cue. Half of a notice line's terms or more are of the templates."""
+def passages(files: DataFrame, templates: Templates, threshold: float) -> DataFrame:
+    """(key, template, cosine) of windows of lines that reach the threshold; the best window of each template is among them."""
+    spark = files.sparkSession
     cue = "(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(c) for c in sorted(templates.cues(threshold))) + ")(?![a-z0-9])"
-    lines = files.where(F.col("text").rlike(cue)).select("key", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\r\n|\n|\r")).alias("i", "line"))
-    terms = F.regexp_extract_all(lower_ascii(F.col("line")), F.lit(TERM), F.lit(0))
-    inside = F.size(F.filter(terms, lambda t: t.isin(*sorted(templates.idf))))
-    notice = lines.where((inside > 0) & (2 * inside >= F.size(terms)))
-    runs = notice.withColumn("run", F.col("i") - F.dense_rank().over(W.partitionBy("key", "h").orderBy("i")))
-    runs = runs.groupBy("key", "h", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]).alias("lines"))
-    # the generator keeps the lines as a column for the windows
-    at = runs.select("key", F.explode(F.array("lines")).alias("lines")).select("key", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("i"))
-    windows = F.filter(F.array(*[F.when(F.col("i") + (w - 1) <= F.size("lines"), F.array_join(F.slice("lines", F.col("i"), w), "\n")) for w in widths]), lambda x: x.isNotNull())
-    return at.select("key", F.explode(windows).alias("passage")).where(F.col("passage").rlike(cue))
+    least = threshold * threshold - 1e-6
+    lines = F.filter(F.transform(F.split("text", "\r\n|\n|\r"), lambda x: F.regexp_extract_all(lower_ascii(x), F.lit(TERM), F.lit(0))), lambda x: F.size(x) > 0)
+    # the generator keeps the terms of the lines as a column
+    split = files.where(F.col("text").rlike(cue)).select("key", F.xxhash64("text").alias("h"), F.explode(F.array(lines)).alias("lines"))
+    known = [(sorted(templates.idf), {t: x * x for t, x in templates.idf.items()}, {t: [v.get(t, 0.0) ** 2 for v in templates.vectors] for t in templates.idf})]
+    known = F.broadcast(spark.createDataFrame(known, "known array<string>, sizes map<string,double>, masses map<string,array<double>>"))
+    held = F.aggregate(F.array_intersect(F.flatten("lines"), "known"), F.array_repeat(F.lit(0.0), len(templates.vectors)), lambda a, t: F.zip_with(a, F.col("masses")[t], lambda x, y: x + y))
+    sized = F.transform("lines", lambda line: F.transform(line, lambda t: F.struct(t.alias("term"), F.coalesce(F.col("sizes")[t], F.lit(templates.idf_else**2)).alias("size"))))
+    texts = settle(split.crossJoin(known).where(F.exists(held, lambda x: x >= least)).select("key", "h", sized.alias("lines")).dropDuplicates(["key", "h"]))
+    weights = [(k, t, x * templates.idf[t], x * x) for k, v in enumerate(templates.vectors) for t, x in sorted(v.items())]
+    weights = spark.createDataFrame(weights, "template int, term string, dot double, mass double")
+    at = texts.select("key", "h", F.posexplode("lines").alias("n", "terms"))
+    sizes = at.select("key", "h", "n", F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["size"]).alias("size"))
+    sizes = sizes.withColumn("size_upto", F.sum("size").over(W.partitionBy("key", "h").orderBy("n")))
+    terms = at.select("key", "h", "n", F.explode("terms").alias("t")).select("key", "h", "n", "t.term", F.col("t.size").alias("inside"))
+    at = terms.join(F.broadcast(weights), "term").groupBy("key", "h", "n", "template").agg(*[F.sum(c).alias(c) for c in ("dot", "mass", "inside")]).join(sizes, ["key", "h", "n"])
+    order = W.partitionBy("key", "h", "template").orderBy("n")
+    at = at.select("*", *[F.sum(c).over(order).alias(f"{c}_upto") for c in ("dot", "mass", "inside")])
+    at = at.withColumn("ahead", F.collect_list(F.struct("n", "dot_upto", "mass_upto", "inside_upto", "size_upto")).over(order.rangeBetween(0, templates.longest - 1)))
+
+    def between(x: Column, name: str) -> Column:
+        return x[f"{name}_upto"] - F.col(f"{name}_upto") + F.col(name)
+
+    def can(x: Column) -> Column:
+        outside = between(x, "size") - between(x, "inside")
+        return (between(x, "mass") >= least) & ((1 - least) * between(x, "dot") * between(x, "dot") >= least * outside - 1e-6)
+
+    spans = at.select("key", "h", "template", "n", "dot", "dot_upto", F.explode(F.filter("ahead", can)).alias("last"))
+    spans = spans.select("key", "h", "template", "n", (F.col("last.n") - F.col("n") + 1).alias("width"), between(F.col("last"), "dot").alias("dot"))
+    # equal terms stand together; the r-th of them adds r^2 - (r - 1)^2 times its square
+    start = F.struct(F.lit("").alias("term"), F.lit(0).alias("r"), F.lit(0.0).alias("total"))
+
+    def add(a: Column, t: Column) -> Column:
+        r = F.when(a["term"] == t["term"], a["r"]).otherwise(0)
+        return F.struct(t["term"].alias("term"), (r + 1).alias("r"), (a["total"] + t["size"] * (2 * r + 1)).alias("total"))
+
+    squares = F.aggregate(F.sort_array(F.flatten(F.slice("lines", F.col("n") + 1, F.col("width")))), start, add, lambda a: a["total"])
+    scored = spans.join(texts, ["key", "h"]).select("key", "template", F.round(F.col("dot") / F.sqrt(squares), 9).alias("cosine"))
+    return scored.groupBy("key", "template").agg(F.max("cosine").alias("cosine")).where(F.col("cosine") >= threshold)
 
 
 def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(key, licence, cosine) of the files (key, text) that hold a passage like a template: the best, by cosine, then by name."""
-    spark = files.sparkSession
     t = Templates(templates)
-    weights = spark.createDataFrame([(k, term, x) for k, v in enumerate(t.vectors) for term, x in sorted(v.items())], "template int, term string, weight double")
-    idf = spark.createDataFrame(sorted(t.idf.items()), "term string, idf double")
-    names = spark.createDataFrame(list(enumerate(t.names)), "template int, licence string")
-    found = settle(passages(files, t, threshold).distinct())
-    texts = found.select("passage").distinct()
-    terms = texts.select("passage", F.explode(F.regexp_extract_all(lower_ascii(F.col("passage")), F.lit(TERM), F.lit(0))).alias("term")).groupBy("passage", "term").agg(F.count("*").alias("tf"))
-    vector = terms.join(F.broadcast(idf), "term", "left").select("passage", "term", (F.col("tf") * F.coalesce("idf", F.lit(t.idf_else))).alias("x"))
-    norms = vector.groupBy("passage").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = vector.join(F.broadcast(weights), "term").groupBy("passage", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, "passage").select("passage", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= threshold)
-    scored = scored.join(F.broadcast(names), "template")
-    best = scored.groupBy("passage").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("best"))
-    return found.join(best, "passage").groupBy("key").agg(F.min("best").alias("best")).select("key", F.col("best.licence").alias("licence"), (-F.col("best.less")).alias("cosine"))
+    names = files.sparkSession.createDataFrame(list(enumerate(t.names)), "template int, licence string")
+    scored = settle(passages(files, t, threshold)).join(F.broadcast(names), "template")
+    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("best"))
+    return best.select("key", F.col("best.licence").alias("licence"), (-F.col("best.less")).alias("cosine"))
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", doc_id: str = "doc_id", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

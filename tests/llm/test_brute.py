@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -315,6 +316,38 @@ def test_cosines_against_plain_vectors(spark):
         assert (k in got) == (best >= licenses.THRESHOLD) and (k not in got or abs(got[k][1] - best) < 1e-8)
 
 
+def best_window(t, text):
+    """The largest cosine of any window of lines with any template."""
+    lines = [w for x in re.split("\r\n|\n|\r", text) if (w := licenses.terms_of(x))]
+    best = 0.0
+    for i in range(len(lines)):
+        counts = Counter()
+        for line in lines[i : i + t.longest]:
+            counts.update(line)
+            v = {w: n * t.idf.get(w, t.idf_else) for w, n in counts.items()}
+            norm = sum(x * x for x in v.values()) ** 0.5
+            best = max([best, *(round(sum(x * tv.get(w, 0.0) for w, x in v.items()) / norm, 9) for tv in t.vectors)])
+    return best
+
+
+def test_passages_of_lines_against_all_windows(spark):
+    t = licenses.Templates(licenses.TEMPLATES)
+    rng = random.Random(9)
+    texts = [gap.join(textwrap.wrap(text, width, break_long_words=False)) for _, text in licenses.TEMPLATES for width, gap in ((72, "\n\n"), (72, "\n * \n"), (31, "\r\n"), (1, "\n"))]
+    whole = len(texts)
+    for _, text in licenses.TEMPLATES:
+        for _ in range(4):
+            lines = textwrap.wrap(text, rng.randrange(20, 90))
+            for _ in range(rng.randrange(1, 6)):
+                lines.insert(rng.randrange(len(lines) + 1), rng.choice(["", " *", "zyx", "the code of qqq and rrr", "#!/bin/sh", lines[0]]))
+            texts.append("\n".join(["intro of a file", *lines, "x = 1"][rng.randrange(2) :]))
+    got = {int(r.key): r.cosine for r in licenses.own_licences(spark.createDataFrame([(str(k), x) for k, x in enumerate(texts)], "key string, text string")).collect()}
+    assert all(got[k] > 0.999999 for k in range(whole))
+    for k, text in enumerate(texts):
+        best = best_window(t, text)
+        assert (k in got) == (best >= licenses.THRESHOLD) and (k not in got or abs(got[k] - best) < 1e-8)
+
+
 def test_archives_are_framed():
     members = [warc.page_record(1, "http://x/", b"a" * 5000, None, False), warc.page_record(2, None, b"a" * 5000, 1, True)]
     first, second = warc.read_records(io.BytesIO(b"".join(members)))
