@@ -290,6 +290,13 @@ def direct_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return energy.direct_search(items(spark, sf_dir), turns(spark, sf_dir), _clusters(spark, sf_dir)[1], k=20)
 
 
+def direct_energy_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As direct_energy, on clusters of 10,000 words and with 100 results."""
+    d = turns(spark, sf_dir)
+    clusters = settle(stats.word_clusters(settle(stats.cooccurrence(d)), N_CLUSTERS, top_words=10_000))
+    return energy.direct_search(items(spark, sf_dir), d, clusters)
+
+
 def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each item the labelled documents, relevant to a degree of 2 if toxic, 1 if of good quality, else 0."""
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") > 0, 2).otherwise(F.col("quality")).cast("int").alias("rel"))
@@ -351,6 +358,13 @@ def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factor.tfidf(d, v).join(F.broadcast(v.select("term_id", "term")), "term_id").select("doc_id", "term", F.round("w", 5).alias("w"))
 
 
+def tfidf_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As tfidf, with the operator's own vocabulary of 10,000 terms."""
+    d = documents(spark, sf_dir)
+    v = factor.vocabulary(d)
+    return factor.tfidf(d, v).join(F.broadcast(v.select("term_id", "term")), "term_id").select("doc_id", "term", F.round("w", 5).alias("w"))
+
+
 def _vector_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, rnk, atom, value): the eight largest positive entries of each vector, as if they were its codes."""
     v = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("atom", "value")).where("value > 0").withColumn("value", F.col("value").cast("double"))
@@ -393,11 +407,11 @@ def atom_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factor.Retriever(n_atoms=32, max_features=1000, rounds=10).fit(turns(spark, sf_dir)).search(items(spark, sf_dir))
+    return factor.Retriever().fit(turns(spark, sf_dir)).search(items(spark, sf_dir))
 
 
 def nmf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factor.Retriever(n_atoms=16, max_features=600, method="nmf").fit(turns(spark, sf_dir)).search(items(spark, sf_dir), ranking="gated")
+    return factor.Retriever(n_atoms=128, method="nmf").fit(turns(spark, sf_dir)).search(items(spark, sf_dir), ranking="gated")
 
 
 def ndjson_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -421,8 +435,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bucket_sizes, vocabulary_report, encode_tokens, encode_counts, registry, blueprint, signature, semantic_group, decode_roundtrip,
         semantic_distance, blueprint_distance, blueprint_scan, slot_filter, range_query, zone_candidates, matrix_linear, matrix_search,
         weighted_linear, clustered_search, store_search, search_statistics, excluded_search, related_search, bucket_relations, memberships,
-        five_part_search, concept_graph, concept_weights, diffuse_energy, energy_search, pruned_energy_search, directed_search, direct_energy,
-        metrics, metrics_macro, binary_ndcg, keyword_relevance, set_metrics, threshold_sweep, index_agreement, explain_ranks, tfidf, top_atoms,
+        five_part_search, concept_graph, concept_weights, diffuse_energy, energy_search, pruned_energy_search, directed_search, direct_energy, direct_energy_full,
+        metrics, metrics_macro, binary_ndcg, keyword_relevance, set_metrics, threshold_sweep, index_agreement, explain_ranks, tfidf, tfidf_full, top_atoms,
         maxsim, gated_dot, diffused_dot, atom_idf, dictionary_topk, nmf_topk, ndjson_roundtrip, synthetic_corpus,
     )
 }

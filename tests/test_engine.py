@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -240,6 +241,22 @@ def test_against_duckdb(spark, sf_dir, name):
     assert mine == other
 
 
+def test_whole_vocabularies(spark, sf_dir, monkeypatch):
+    queries = entry.queries()
+    docs = {r.doc_id: Counter(re.findall(r"\w{2,}", (r.text or "").lower())) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    df = Counter(t for c in docs.values() for t in c)
+    usable = sum(2 <= n <= 0.95 * len(docs) for n in df.values())
+    got = queries["tfidf_full"](spark, sf_dir).select("term").distinct().count()
+    assert 2000 < got and abs(got - min(usable, 10_000)) <= 0.01 * got
+    assert queries["direct_energy_full"](spark, sf_dir).agg(F.max("rank")).first()[0] > 20
+    made = []
+    monkeypatch.setattr(factor.Retriever, "fit", lambda self, docs: made.append(self) or self)
+    monkeypatch.setattr(factor.Retriever, "search", lambda self, *a, **b: None)
+    for name in ("dictionary_topk", "nmf_topk"):
+        queries[name](spark, sf_dir)
+    assert [(r.n_atoms, r.max_features) for r in made] == [(256, 10_000), (128, 10_000)] and made[0].rounds == 100
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
