@@ -174,6 +174,12 @@ def semantic_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "doc_id", F.round("distance", 3).alias("distance"), distances.semantic_label(F.col("distance")).alias("label"))
 
 
+def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token distances within 50 of items to turns, by the numbers of all tokens, those of the registry included."""
+    out = search.semantic(*_indexes(spark, sf_dir))
+    return out.select("query_id", "doc_id", F.round("distance", 3).alias("distance"), distances.semantic_label(F.col("distance")).alias("label"))
+
+
 def blueprint_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, d = _indexes(spark, sf_dir)
     return search.blueprint(q, d).withColumn("distance", F.round("distance", 3))
@@ -433,7 +439,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         bm25_topk, bm25_stats, idf, sentence_weight, query_weights, domain_hint, cooccurrence, word_totals, word_clusters, cluster_labels, tags,
         bucket_sizes, vocabulary_report, encode_tokens, encode_counts, registry, blueprint, signature, semantic_group, decode_roundtrip,
-        semantic_distance, blueprint_distance, blueprint_scan, slot_filter, range_query, zone_candidates, matrix_linear, matrix_search,
+        semantic_distance, semantic_search, blueprint_distance, blueprint_scan, slot_filter, range_query, zone_candidates, matrix_linear, matrix_search,
         weighted_linear, clustered_search, store_search, search_statistics, excluded_search, related_search, bucket_relations, memberships,
         five_part_search, concept_graph, concept_weights, diffuse_energy, energy_search, pruned_energy_search, directed_search, direct_energy, direct_energy_full,
         metrics, metrics_macro, binary_ndcg, keyword_relevance, set_metrics, threshold_sweep, index_agreement, explain_ranks, tfidf, tfidf_full, top_atoms,

@@ -257,6 +257,30 @@ def test_whole_vocabularies(spark, sf_dir, monkeypatch):
     assert [(r.n_atoms, r.max_features) for r in made] == [(256, 10_000), (128, 10_000)] and made[0].rounds == 100
 
 
+def test_semantic_search_of_turns(spark, tmp_path):
+    said = ["kafka qqqzz lag", "zzyyx the account", "Kafka qqqzx lag!", "unrelated wwvvu"]
+    asked = ["kafka qqqzz lag", "zzyyx the account", "newword xxkkq"]
+    spark.createDataFrame([(k, 0, t) for k, t in enumerate(said)], "conv_id bigint, turn bigint, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame(list(enumerate(asked)), "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.query_id, r.doc_id): r.distance for r in entry.queries()["semantic_search"](spark, str(tmp_path)).collect()}
+    docs = spark.createDataFrame([(k * 1000, t) for k, t in enumerate(said)], "doc_id bigint, text string")
+    first = encode.register(encode.unknown_words(encode.tokens(docs, LEX)), LEX)
+    q = spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string")
+    both = encode.register(encode.unknown_words(encode.tokens(q, LEX)), LEX, first)
+    number = LEX.lookup | {r.word: r.id for r in both.collect()}
+    ids = lambda t: [number.get(w, x) for w, x in plain_tokens(t)]
+    want = {}
+    for i, a in enumerate(asked):
+        for k, b in enumerate(said):
+            x, y = ids(a), ids(b)
+            n = max(len(x), len(y))
+            x, y = x + [32] * (n - len(x)), y + [32] * (n - len(y))
+            if (d := sum(abs(u - v) for u, v in zip(x, y, strict=True)) / n) <= 50:
+                want[i, k * 1000] = d
+    assert {(0, 0), (1, 1000)} <= got.keys() == want.keys() and got[0, 0] == got[1, 1000] == 0
+    assert all(math.isclose(got[k], want[k], abs_tol=1e-3) for k in want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
