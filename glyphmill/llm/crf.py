@@ -46,7 +46,7 @@ class Chain:
     first: np.ndarray  # states
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights
+        return (x @ self.weights.astype(x.dtype, copy=False)).astype(np.float64, copy=False)
 
 
 def marginals(e: np.ndarray, chain: Chain, batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -154,7 +154,7 @@ def fit(x: np.ndarray, states: np.ndarray, lengths: np.ndarray, n_states: int, l
         got = float(e[np.arange(n), states].sum() + (seen_moves * c.moves).sum() + seen_first @ c.first)
         pair = forward[inner][:, :, None] * np.exp(c.moves - c.moves.max())[None] * ahead[inner + 1][:, None, :]
         pair /= np.maximum(pair.sum((1, 2), keepdims=True), 1e-300)
-        grad = np.concatenate([(x.T @ (m - hot)).ravel(), (pair.sum(0) - seen_moves).ravel(), m[heads].sum(0) - seen_first])
+        grad = np.concatenate([(x.T @ (m - hot).astype(x.dtype, copy=False)).ravel(), (pair.sum(0) - seen_moves).ravel(), m[heads].sum(0) - seen_first])
         return logz - got + l2 / 2 * float(v @ v), grad + l2 * v
 
     return unpack(minimise(loss, np.zeros(f * n_states + n_states**2 + n_states)))

@@ -109,6 +109,25 @@ def buffers_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
+def chunks_of(column: pa.Array, change: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """What stands between ASCII white space: the distinct chunks, the number of each chunk's among them, and how many each text has.
+
+    `change` may put other bytes in the place of the chunks' bytes and of where each begins (and the last ends).
+    """
+    offsets, data = buffers_of(column)
+    data = np.insert(data[offsets[0] : offsets[-1]], offsets[1:] - offsets[0], 32)  # a blank after each text
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    opens = ~blank
+    opens[1:] &= blank[:-1]
+    kept = data[~blank]
+    starts = np.append(np.nonzero(opens[~blank])[0], len(kept)).astype(np.int64)
+    if change:
+        kept, starts = change(kept, starts)
+    coded = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(kept)).dictionary_encode()
+    counts = np.concatenate([[0], np.cumsum(opens, dtype=np.int64)])[offsets - offsets[0] + np.arange(len(offsets))]
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.diff(counts)
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows of at most `limit` bytes, or of one row."""
     i, n = 0, len(offsets) - 1
