@@ -1,11 +1,11 @@
-"""License scans by DataFrame operations only: sparse TF-IDF cosine of header passages to templates, then inheritance along paths.
-
-Passages are all windows of consecutive lines, lines without a term left out, of at most as many lines as the longest template has
-terms. A window whose cosine with a template reaches the threshold, cut to begin and end at lines with a term of that template, has no
-smaller cosine; its terms hold the square of the threshold of the template's squared weights; and the part of it outside the template
-is short beside its dot product. The latter two are bounded by sums over lines, so that only windows which can reach the threshold are
-scored, each beside its file's lines and never stored; no window that reaches the threshold is missed. Weights are of term frequency
-times inverse frequency over the templates; terms of no template weigh the most.
+"""License scans by DataFrame operations only: sparse TF-IDF cosine of notices to templates, then inheritance along paths.
+
+A template's cues are its heaviest terms, common words last, without which no passage can reach the threshold. Where two of a template's
+cues, or its only one, stand in a text as far apart as in the template, wherever lines end, there is a seed: the place at which the
+template would begin. A seed's passages run from that place, or from its first cue, to where the template would end, a quarter of its
+length further, or to its last cue; each is cut to begin and end with a term of the template, and the best cosine counts. Seeds are
+found and scored beside each text's terms, so nothing but (file, template, cosine) leaves a task. Weights are of term frequency times
+inverse frequency over the templates; terms of no template weigh the most.
 A file without a licence of its own takes that of the nearest directory above it with a licence file.
 """
 
@@ -16,7 +16,6 @@ import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.llm.license_templates import TEMPLATES
@@ -43,22 +42,21 @@ class Templates:
         df = Counter(t for c in counts for t in c)
         self.idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in df.items()}
         self.idf_else = math.log(1 + len(counts)) + 1
-        self.longest = max((sum(c.values()) for c in counts), default=0)
+        self.terms = [terms_of(text) for _, text in templates]
         self.vectors = []
         for c in counts:
             v = {t: n * self.idf[t] for t, n in c.items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             self.vectors.append({t: x / norm for t, x in v.items()})
 
-    def cues(self, threshold: float) -> set[str]:
-        out: set[str] = set()
-        for v in self.vectors:
-            left = 1.0
-            for t, x in sorted(v.items(), key=lambda p: (p[0] in COMMON, -p[1], p[0])):
-                if math.sqrt(max(0.0, left)) < threshold - 1e-9:
-                    break
-                out.add(t)
-                left -= x * x
+    def cues(self, template: int, threshold: float) -> list[str]:
+        """Terms of which a passage that reaches the threshold holds at least one, those of most weight first and common words last."""
+        out, left = [], 1.0
+        for t, x in sorted(self.vectors[template].items(), key=lambda p: (p[0] in COMMON, -p[1], p[0])):
+            if math.sqrt(max(0.0, left)) < threshold - 1e-9:
+                break
+            out.append(t)
+            left -= x * x
         return out
 
 
@@ -66,56 +64,71 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Cues that must agree on a place, where a template has so many, and by which part of its length a passage may be longer.
+AGREEING, LONGER = 2, 0.25
+
+
 def passages(files: DataFrame, templates: Templates, threshold: float) -> DataFrame:
-    """(key, template, cosine) of windows of lines that reach the threshold; the best window of each template is among them."""
-    spark = files.sparkSession
-    cue = "(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(c) for c in sorted(templates.cues(threshold))) + ")(?![a-z0-9])"
-    least = threshold * threshold - 1e-6
-    lines = F.filter(F.transform(F.split("text", "\r\n|\n|\r"), lambda x: F.regexp_extract_all(lower_ascii(x), F.lit(TERM), F.lit(0))), lambda x: F.size(x) > 0)
-    # the generator keeps the terms of the lines as a column
-    split = files.where(F.col("text").rlike(cue)).select("key", F.xxhash64("text").alias("h"), F.explode(F.array(lines)).alias("lines"))
-    known = [(sorted(templates.idf), {t: x * x for t, x in templates.idf.items()}, {t: [v.get(t, 0.0) ** 2 for v in templates.vectors] for t in templates.idf})]
-    known = F.broadcast(spark.createDataFrame(known, "known array<string>, sizes map<string,double>, masses map<string,array<double>>"))
-    held = F.aggregate(F.array_intersect(F.flatten("lines"), "known"), F.array_repeat(F.lit(0.0), len(templates.vectors)), lambda a, t: F.zip_with(a, F.col("masses")[t], lambda x, y: x + y))
-    sized = F.transform("lines", lambda line: F.transform(line, lambda t: F.struct(t.alias("term"), F.coalesce(F.col("sizes")[t], F.lit(templates.idf_else**2)).alias("size"))))
-    texts = settle(split.crossJoin(known).where(F.exists(held, lambda x: x >= least)).select("key", "h", sized.alias("lines")).dropDuplicates(["key", "h"]))
-    weights = [(k, t, x * templates.idf[t], x * x) for k, v in enumerate(templates.vectors) for t, x in sorted(v.items())]
-    weights = spark.createDataFrame(weights, "template int, term string, dot double, mass double")
-    at = texts.select("key", "h", F.posexplode("lines").alias("n", "terms"))
-    sizes = at.select("key", "h", "n", F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["size"]).alias("size"))
-    sizes = sizes.withColumn("size_upto", F.sum("size").over(W.partitionBy("key", "h").orderBy("n")))
-    terms = at.select("key", "h", "n", F.explode("terms").alias("t")).select("key", "h", "n", "t.term", F.col("t.size").alias("inside"))
-    at = terms.join(F.broadcast(weights), "term").groupBy("key", "h", "n", "template").agg(*[F.sum(c).alias(c) for c in ("dot", "mass", "inside")]).join(sizes, ["key", "h", "n"])
-    order = W.partitionBy("key", "h", "template").orderBy("n")
-    at = at.select("*", *[F.sum(c).over(order).alias(f"{c}_upto") for c in ("dot", "mass", "inside")])
-    at = at.withColumn("ahead", F.collect_list(F.struct("n", "dot_upto", "mass_upto", "inside_upto", "size_upto")).over(order.rangeBetween(0, templates.longest - 1)))
-
-    def between(x: Column, name: str) -> Column:
-        return x[f"{name}_upto"] - F.col(f"{name}_upto") + F.col(name)
-
-    def can(x: Column) -> Column:
-        outside = between(x, "size") - between(x, "inside")
-        return (between(x, "mass") >= least) & ((1 - least) * between(x, "dot") * between(x, "dot") >= least * outside - 1e-6)
-
-    spans = at.select("key", "h", "template", "n", "dot", "dot_upto", F.explode(F.filter("ahead", can)).alias("last"))
-    spans = spans.select("key", "h", "template", "n", (F.col("last.n") - F.col("n") + 1).alias("width"), between(F.col("last"), "dot").alias("dot"))
-    # equal terms stand together; the r-th of them adds r^2 - (r - 1)^2 times its square
-    start = F.struct(F.lit("").alias("term"), F.lit(0).alias("r"), F.lit(0.0).alias("total"))
-
-    def add(a: Column, t: Column) -> Column:
-        r = F.when(a["term"] == t["term"], a["r"]).otherwise(0)
-        return F.struct(t["term"].alias("term"), (r + 1).alias("r"), (a["total"] + t["size"] * (2 * r + 1)).alias("total"))
-
-    squares = F.aggregate(F.sort_array(F.flatten(F.slice("lines", F.col("n") + 1, F.col("width")))), start, add, lambda a: a["total"])
-    scored = spans.join(texts, ["key", "h"]).select("key", "template", F.round(F.col("dot") / F.sqrt(squares), 9).alias("cosine"))
-    return scored.groupBy("key", "template").agg(F.max("cosine").alias("cosine")).where(F.col("cosine") >= threshold)
+    """(key, template, cosine) of passages that reach the threshold, the best of each seed."""
+    cues = [templates.cues(k, threshold) for k in range(len(templates.names))]
+    places: dict[str, list[Column]] = {c: [] for c in sorted(set().union(*cues))}
+    for k, terms in enumerate(templates.terms):
+        for q, t in enumerate(terms):
+            if t in cues[k]:
+                places[t].append(F.struct(F.lit(k).alias("template"), F.lit(q).alias("q")))
+    if not places:
+        return files.select("key", F.lit(0).alias("template"), F.lit(0.0).alias("cosine")).limit(0)
+    wanted = F.array(*map(F.lit, places))
+    places_of = F.create_map(*[x for c, at in places.items() for x in (F.lit(c), F.array(*at))])
+    length = F.array(*[F.lit(len(t)) for t in templates.terms])
+    agreeing = F.array(*[F.lit(min(AGREEING, len(c))) for c in cues])
+    weights = F.array(*[F.create_map(*[x for t, w in sorted(v.items()) for x in (F.lit(t), F.lit(w))]) for v in templates.vectors])
+    idf = F.create_map(*[x for t, w in sorted(templates.idf.items()) for x in (F.lit(t), F.lit(w))])
+
+    def kept(c: Column, name: str, df: DataFrame, *more: str) -> DataFrame:
+        """With a column that later expressions use but don't compute anew: a generator stands between."""
+        return df.select("key", *more, F.explode(F.array(c)).alias(name))
+
+    cue = "(?<![a-z0-9])(?:" + "|".join(re.escape(c) for c in places) + ")(?![a-z0-9])"
+    low = kept(lower_ascii(F.col("text")), "low", files).where(F.col("low").rlike(cue))
+    terms = kept(F.regexp_extract_all("low", F.lit(TERM), F.lit(0)), "terms", low)
+    found = kept(F.array_intersect("terms", wanted), "found", terms, "terms").where(F.size("found") > 0)
+    anchors = F.filter(F.transform("terms", lambda t, i: F.when(F.array_contains("found", t), F.struct(t.alias("cue"), i.alias("i")))), lambda a: a.isNotNull())
+    placed = F.flatten(F.transform(anchors, lambda a: F.transform(places_of[a["cue"]], lambda p: F.struct(p["template"].alias("template"), (a["i"] - p["q"]).alias("start"), a["i"].alias("i"), a["cue"].alias("cue")))))
+    # cues that agree on a place stand together once sorted; a run of them is closed when the next place begins
+    ordered = kept(F.array_append(F.array_sort(placed), F.struct(F.lit(-1).alias("template"), F.lit(0).alias("start"), F.lit(0).alias("i"), F.lit("").alias("cue"))), "placed", found, "terms")
+    none = F.struct(
+        F.lit(-1).alias("template"), F.lit(0).alias("start"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("n"),
+        F.array().cast("array<struct<template:int,start:int,first:int,last:int>>").alias("seeds"),
+    )
+
+    def step(s: Column, p: Column) -> Column:
+        same = (s["template"] == p["template"]) & (s["start"] == p["start"])
+        done = (s["template"] >= 0) & (s["n"] >= agreeing[F.greatest(s["template"], F.lit(0))])
+        seeds = F.when(done, F.array_append(s["seeds"], F.struct(s["template"].alias("template"), s["start"].alias("start"), s["first"].alias("first"), s["last"].alias("last")))).otherwise(s["seeds"])
+        return F.when(same, F.struct(s["template"].alias("template"), s["start"].alias("start"), s["first"].alias("first"), p["i"].alias("last"), (s["n"] + 1).alias("n"), s["seeds"].alias("seeds"))).otherwise(
+            F.struct(p["template"].alias("template"), p["start"].alias("start"), p["i"].alias("first"), p["i"].alias("last"), F.lit(1).alias("n"), seeds.alias("seeds"))
+        )
+
+    seeds = ordered.select("key", "terms", F.explode(F.aggregate("placed", none, step, lambda s: s["seeds"])).alias("seed"))
+    seeds = seeds.select("key", "terms", F.col("seed.*"), length[F.col("seed.template")].alias("length"), weights[F.col("seed.template")].alias("weights"))
+    starts = F.array_distinct(F.array(F.greatest("start", F.lit(0)), F.col("first")))
+    ends = F.array_distinct(F.transform(F.array(F.col("start") + F.col("length"), F.col("start") + F.ceil(F.col("length") * (1 + LONGER)).cast("int"), F.col("last") + 1), lambda e: F.least(e, F.size("terms"))))
+    spans = F.flatten(F.transform(starts, lambda s: F.transform(ends, lambda e: F.slice("terms", s + 1, e - s))))
+    runs = seeds.select("key", "template", "weights", F.explode(F.array_distinct(spans)).alias("run"))
+    inside = F.transform("run", lambda t: F.col("weights")[t].isNotNull())
+    trimmed = F.slice("run", F.array_position(inside, True).cast("int"), (F.size("run") + 2 - F.array_position(inside, True) - F.array_position(F.reverse(inside), True)).cast("int"))
+    runs = runs.select("key", "template", "weights", F.explode(F.array(trimmed)).alias("run"))
+    dot = F.aggregate("run", F.lit(0.0), lambda a, t: a + F.coalesce(F.col("weights")[t] * F.coalesce(idf[t], F.lit(templates.idf_else)), F.lit(0.0)))
+    size = F.aggregate(F.array_distinct("run"), F.lit(0.0), lambda a, t: a + F.pow(F.size(F.filter("run", lambda x: x == t)) * F.coalesce(idf[t], F.lit(templates.idf_else)), F.lit(2.0)))
+    return runs.select("key", "template", F.round(dot / F.sqrt(size), 9).alias("cosine")).where(F.col("cosine") >= threshold)
 
 
 def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(key, licence, cosine) of the files (key, text) that hold a passage like a template: the best, by cosine, then by name."""
     t = Templates(templates)
     names = files.sparkSession.createDataFrame(list(enumerate(t.names)), "template int, licence string")
-    scored = settle(passages(files, t, threshold)).join(F.broadcast(names), "template")
+    scored = settle(passages(files, t, threshold).groupBy("key", "template").agg(F.max("cosine").alias("cosine"))).join(F.broadcast(names), "template")
     best = scored.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("best"))
     return best.select("key", F.col("best.licence").alias("licence"), (-F.col("best.less")).alias("cosine"))
 
