@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -137,15 +138,21 @@ def test_packing(spark, texts, docs):
     assert 1 - sum(full.values()) / 4096 / len(full) < 0.1
 
 
-def test_chunk_tokenizer():
+def test_word_tokenizer():
     rng = random.Random(3)
-    chars = "abcAB'sS re\t\n\x1c\x1f\x85\xa0 　éÉİΣς09ß%$Åのﬁ̈​\x00\U0001f600"
-    words = ["<|endoftext|>", "'re", "I'LL", "ΑΣ ", "</w>", "don't"]
-    some = ["".join(rng.choice(words) if rng.random() < 0.1 else rng.choice(chars) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    chars = "abcAB'sS re\t\n\x1c\x1f\x85\xa0 　éÉİΣς09ß%$Åのﬁ̈​\x00\x7fǅȺªº²¼_.,\U0001f600"
+    words = ["<|endoftext|>", "<|ENDOFTEXT|>", "'re", "I'LL", "ΑΣ ", "</w>", "don't", "'s's", "''s", "!'d", "x'vex", "9'm", "é'll"]
+    some = ["".join(rng.choice(words) if rng.random() < 0.1 else rng.choice(chars[: rng.choice([12, 30, 99])]) for _ in range(rng.randrange(40))) for _ in range(6000)]
+    some += ["", "x'", "short", None, "の", "don't.", "'", "re", "x <", "| y"]
     spec = open(TOKENIZER, encoding="utf-8").read()
     whole = Tokenizer.from_file(TOKENIZER)
-    for t, got in zip(some, packing.ChunkTokenizer(spec).encode(some), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    for remembered in (packing.REMEMBERED_BYTES, 200_000):
+        tokenizer = packing.WordTokenizer(spec, remembered)
+        for at in range(0, len(some), 1000):
+            part = some[at : at + 1000]
+            ids, ends = tokenizer.encode(pa.array([None, *part], pa.string()).slice(1), b"\x02\0\0\0")
+            for t, a, b in zip(part, ends, ends[1:], strict=False):
+                assert ids[a:b].tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 2]
 
 
 def test_cutting_stock():
@@ -303,51 +310,67 @@ def test_licences(spark):
     assert got[5][2] == "own" and got[7] == (None, "Proprietary", "a/b/c") and got[8][2] == "own" and got[9] == (None, None, None) and got[10] == (None, "MIT", "a")
 
 
-def test_cosines_against_plain_vectors(spark):
-    t = licenses.Templates(licenses.TEMPLATES)
-    rng = random.Random(8)
-    lines = [" ".join(rng.sample(text.split(), min(len(text.split()), rng.randrange(3, 12)))) for _, text in licenses.TEMPLATES for _ in range(4)]
-    got = {int(r.key): (r.licence, r.cosine) for r in licenses.own_licences(spark.createDataFrame([(str(k), x) for k, x in enumerate(lines)], "key string, text string")).collect()}
-    for k, line in enumerate(lines):
-        counts = Counter(licenses.terms_of(line))
-        v = {w: n * t.idf.get(w, t.idf_else) for w, n in counts.items()}
-        norm = sum(x * x for x in v.values()) ** 0.5 or 1.0
-        best = max(round(sum(x * tv.get(w, 0.0) for w, x in v.items()) / norm, 9) for tv in t.vectors)
-        assert (k in got) == (best >= licenses.THRESHOLD) and (k not in got or abs(got[k][1] - best) < 1e-8)
-
-
-def best_window(t, text):
-    """The largest cosine of any window of lines with any template."""
-    lines = [w for x in re.split("\r\n|\n|\r", text) if (w := licenses.terms_of(x))]
+def plain_cosine(t, v, run):
+    counts = Counter(run)
+    w = {x: n * t.idf.get(x, t.idf_else) for x, n in counts.items()}
+    return round(sum(x * v.get(k, 0.0) for k, x in w.items()) / (sum(x * x for x in w.values()) ** 0.5 or 1.0), 9)
+
+
+def best_passage(t, text):
+    """The largest cosine of any passage of a seed, by trying all pairs of places."""
+    terms = licenses.terms_of(text)
     best = 0.0
-    for i in range(len(lines)):
-        counts = Counter()
-        for line in lines[i : i + t.longest]:
-            counts.update(line)
-            v = {w: n * t.idf.get(w, t.idf_else) for w, n in counts.items()}
-            norm = sum(x * x for x in v.values()) ** 0.5
-            best = max([best, *(round(sum(x * tv.get(w, 0.0) for w, x in v.items()) / norm, 9) for tv in t.vectors)])
+    for k, (v, like) in enumerate(zip(t.vectors, t.terms, strict=True)):
+        cues = t.cues(k, licenses.THRESHOLD)
+        at = {}
+        for i, x in enumerate(terms):
+            for q, y in enumerate(like):
+                if x == y and x in cues:
+                    at.setdefault(i - q, []).append(i)
+        for start, here in at.items():
+            if len(here) < min(2, len(cues)):
+                continue
+            for a in (max(0, start), min(here)):
+                for b in (start + len(like), start + -(-len(like) * 5 // 4), max(here) + 1):
+                    run = terms[a:b]
+                    inside = [n for n, x in enumerate(run) if x in v]
+                    best = max(best, plain_cosine(t, v, run[inside[0] : inside[-1] + 1]))
     return best
 
 
-def test_passages_of_lines_against_all_windows(spark):
+def cosines_of(spark, texts):
+    return {int(r.key): r.cosine for r in licenses.own_licences(spark.createDataFrame([(str(k), x) for k, x in enumerate(texts)], "key string, text string")).collect()}
+
+
+def test_passages_against_all_places(spark):
     t = licenses.Templates(licenses.TEMPLATES)
     rng = random.Random(9)
-    texts = [gap.join(textwrap.wrap(text, width, break_long_words=False)) for _, text in licenses.TEMPLATES for width, gap in ((72, "\n\n"), (72, "\n * \n"), (31, "\r\n"), (1, "\n"))]
-    whole = len(texts)
+    texts = [" ".join(rng.sample(text.split(), min(len(text.split()), rng.randrange(3, 12)))) for _, text in licenses.TEMPLATES for _ in range(2)]
     for _, text in licenses.TEMPLATES:
         for _ in range(4):
-            lines = textwrap.wrap(text, rng.randrange(20, 90))
-            for _ in range(rng.randrange(1, 6)):
-                lines.insert(rng.randrange(len(lines) + 1), rng.choice(["", " *", "zyx", "the code of qqq and rrr", "#!/bin/sh", lines[0]]))
-            texts.append("\n".join(["intro of a file", *lines, "x = 1"][rng.randrange(2) :]))
-    got = {int(r.key): r.cosine for r in licenses.own_licences(spark.createDataFrame([(str(k), x) for k, x in enumerate(texts)], "key string, text string")).collect()}
-    assert all(got[k] > 0.999999 for k in range(whole))
+            words = text.split()
+            for _ in range(rng.randrange(0, 6)):
+                words.insert(rng.randrange(len(words) + 1), rng.choice(["", "*", "zyx", "the code of qqq and rrr", "license", words[0]]))
+            texts.append("\n".join(["intro of a file", *textwrap.wrap(" ".join(words[: rng.choice([len(words), len(words) * 2 // 3])]), rng.randrange(20, 90)), "x = 1 " * rng.randrange(30)][rng.randrange(2) :]))
+    got = cosines_of(spark, texts)
     for k, text in enumerate(texts):
-        best = best_window(t, text)
+        best = best_passage(t, text)
         assert (k in got) == (best >= licenses.THRESHOLD) and (k not in got or abs(got[k] - best) < 1e-8)
 
 
+def test_notices_are_found_in_any_layout(spark, texts):
+    rng = random.Random(10)
+    prose = [x for x in texts.values() if x and licenses.terms_of(x)]
+    layouts = [lambda n: n, lambda n: "\n\n".join(textwrap.wrap(n, 72)), lambda n: "\n * ".join(textwrap.wrap(n, 40)), lambda n: "\r\n".join(n.split()), lambda n: f"// {n}", lambda n: "# " + "\n# ".join(textwrap.wrap(n, 31))]
+    whole = [layout(n) for _, n in licenses.TEMPLATES for layout in layouts]
+    inline = [f"{' '.join(rng.choice(prose).split()[:200])} {layout(n)} {' '.join(rng.choice(prose).split()[:200])}" for _, n in licenses.TEMPLATES for layout in layouts]
+    got = cosines_of(spark, whole + inline)
+    assert len(got) == len(whole + inline) and min(got.values()) > 0.999999
+    # one word in twenty missing or another
+    changed = [" ".join(rng.choice(["", "zyx"]) if rng.random() < 0.05 else w for w in n.split()) for _, n in licenses.TEMPLATES if len(n.split()) >= 12 for _ in range(8)]
+    assert len(cosines_of(spark, changed)) >= 0.9 * len(changed)
+
+
 def test_archives_are_framed():
     members = [warc.page_record(1, "http://x/", b"a" * 5000, None, False), warc.page_record(2, None, b"a" * 5000, 1, True)]
     first, second = warc.read_records(io.BytesIO(b"".join(members)))
