@@ -8,6 +8,7 @@ field itself: a line that looks good becomes good, though the worst line of a ba
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.crf import Batch, Chain, fit, marginals, minimise
-from glyphmill.llm.rows import buffers_of, held_out, map_batches, pick, slices
+from glyphmill.llm.rows import buffers_of, held_out, map_batches, pick, settle, slices
 
 #: The field is fitted on at most so many labelled documents, those with the smallest hash of their id, and on at most so many
-#: lines of each. Scoring reads every line of every document.
+#: lines of each, in stretches that a hash chooses from the whole text. The logistic curve is fitted on those documents' whole texts,
+#: and scoring reads every line of every document.
 MAX_LABELLED = 4000
-MAX_LINES = 200
+MAX_LINES, STRETCH = 200, 25
 THRESHOLD = 0.7
 
 
@@ -152,6 +154,98 @@ def _stretch(share: np.ndarray) -> np.ndarray:
     return -np.log10(np.clip(1 - share, 0, 1) + 1e-3)
 
 
+def fit_lines(x: np.ndarray, lines: np.ndarray, of: np.ndarray, good: np.ndarray, rounds: int = 3) -> Chain | None:
+    """The field from stretches of lines: features with neighbours, lines of each stretch, its document, and the documents' labels.
+
+    Without lines of both labels there is none.
+    """
+    line_of = np.repeat(of, lines)
+    if not len(x) or good[line_of].all() or not good[line_of].any():
+        return None
+    states = good[line_of].astype(np.int64)
+    for _ in range(rounds):
+        chain = fit(x, states, lines, 2)
+        m = marginals(chain.emissions(x), chain, Batch(lines))[0][:, 1]
+        low = np.full(len(good), np.inf)
+        np.minimum.at(low, line_of, m)
+        states = np.where(good[line_of], 1, (m > 0.5) & (m > low[line_of])).astype(np.int64)
+    return chain
+
+
+def calibrate(chain: Chain | None, share: np.ndarray, good: np.ndarray) -> Model:
+    """The logistic curve from whole documents' shares to their labels; without a field every document gets the same score."""
+    if chain is None:
+        rate = (good.sum() + 1) / (len(good) + 2)
+        return Model(Chain(np.zeros((3 * N_OWN + 3, 2)), np.zeros((2, 2)), np.zeros(2)), 0.0, float(np.log(rate / (1 - rate))))
+    z = _stretch(share)
+
+    def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
+        t = v[0] * z + v[1]
+        p = 1 / (1 + np.exp(-np.clip(t, -30, 30)))
+        g = p - good
+        return float((np.logaddexp(0, t) - good * t).sum() + 1e-2 * v[0] ** 2), np.array([g @ z + 2e-2 * v[0], g.sum()])
+
+    slope, bias = (float(v) for v in minimise(loss, np.zeros(2)))
+    return Model(chain, slope, bias)
+
+
+def stretches(n: int, seed: int, most: int, size: int = STRETCH) -> list[tuple[int, int]]:
+    """Parts of n lines, at most `most` in all: the whole, or parts of `size` lines that a hash of the seed and their place chooses."""
+    if n <= most:
+        return [(0, n)] if n else []
+    at = sorted(range(0, n, size), key=lambda i: (zlib.crc32(f"{seed}:{i}".encode()), i))[: max(1, most // size)]
+    return [(i, min(n, i + size)) for i in sorted(at)]
+
+
+def learn_from(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED, max_lines: int = MAX_LINES) -> Model:
+    """Fits on labelled documents outside the held-out fold; of rows that repeat a doc_id the one with the smallest text counts."""
+    chosen = pick(labels, doc_id, label).where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
+    chosen = chosen.groupBy(doc_id).agg(F.min(label).alias("_label")).orderBy(F.xxhash64(doc_id), doc_id).limit(max_labelled)
+    sample = pick(docs, doc_id, text).join(F.broadcast(chosen), doc_id).groupBy(F.xxhash64(doc_id).alias("h")).agg(F.min(F.struct(F.col("_label").cast("int"), F.col(text))).alias("x"))
+    sample = settle(sample.select("h", F.col("x._label").alias("good"), F.col(f"x.{text}").alias("text")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets, data = buffers_of(b.column(2))
+            for i, j in slices(offsets):
+                x, _, lines = line_features(data, offsets[i : j + 1])
+                full = with_neighbours(x, lines).astype(np.float32)
+                begins = np.cumsum(lines) - lines
+                for k, h in enumerate(b.column(0).slice(i, j - i).to_pylist()):
+                    some = [full[begins[k] + a : begins[k] + e] for a, e in stretches(int(lines[k]), h, max_lines)]
+                    yield pa.RecordBatch.from_arrays([pa.array([v] * len(some), t) for v, t in ((h, pa.int64()), (b.column(1)[i + k].as_py(), pa.int32()))] + [pa.array(range(len(some)), pa.int32()), pa.array([x.ravel() for x in some], pa.list_(pa.float32()))], ["h", "good", "nth", "x"])
+
+    rows = map_batches(sample, cut, "h bigint, good int, nth int, x array<float>").toArrow().sort_by([("h", "ascending"), ("nth", "ascending")])
+    if not rows.num_rows:
+        return calibrate(None, np.zeros(0), np.array([r.good == 1 for r in sample.select("good").collect()], bool))
+    ids, first, of = np.unique(rows["h"].to_numpy(), return_index=True, return_inverse=True)
+    x = rows["x"].combine_chunks()
+    lines = np.diff(x.offsets.to_numpy()) // (3 * N_OWN + 3)
+    chain = fit_lines(x.flatten().to_numpy().reshape(-1, 3 * N_OWN + 3), lines, of, rows["good"].to_numpy()[first] == 1)
+    del x, rows
+    held = sample.sparkSession.sparkContext.broadcast(chain)
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(held.value, 1.0, 0.0) if held.value is not None else None
+        for b in batches:
+            offsets, data = buffers_of(b.column(2))
+            for i, j in slices(offsets):
+                share = model.good_share(*line_features(data, offsets[i : j + 1])) if model else np.zeros(j - i)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(share)], ["h", "good", "share"])
+
+    whole = map_batches(sample, shares, "h bigint, good int, share double").toArrow().sort_by("h")
+    return calibrate(chain, whole["share"].to_numpy(), whole["good"].to_numpy() == 1)
+
+
+def score(self, share: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * _stretch(share) + self.bias, -30, 30)))
+
+
+def _stretch(share: np.ndarray) -> np.ndarray:
+    """Spreads shares near 1, where documents of little bad text lie."""
+    return -np.log10(np.clip(1 - share, 0, 1) + 1e-3)
+
+
 def train(x: np.ndarray, chars: np.ndarray, lines: np.ndarray, good: np.ndarray, rounds: int = 3) -> Model:
     """From the lines of documents and the documents' labels; without both labels every document gets the same score."""
     rate = (good.sum() + 1) / (len(good) + 2)
@@ -204,14 +298,16 @@ def learn_from(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     return train(x, chars.flatten().to_numpy(), lines, rows["good"].to_numpy() == 1)
 
 
-def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+def score(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED, max_lines: int = MAX_LINES
+) -> DataFrame:
     """(doc_id, held_out, score, predicted, good_share), a row for each input row.
 
     Only text enters a score. Texts that are null, empty or have no word have a good share of 0. Rows labelled null are not learned
     from; a document labelled twice counts as bad if either label is. Repeated rows stay; a null doc_id counts as an empty text in
     the fold's checksum.
     """
-    held = docs.sparkSession.sparkContext.broadcast(learn_from(docs, labels, doc_id, text, label))
+    held = docs.sparkSession.sparkContext.broadcast(learn_from(docs, labels, doc_id, text, label, max_labelled, max_lines))
     df = pick(docs, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
