@@ -24,7 +24,7 @@ from glyphmill.llm.rows import map_batches, parts_of, pick, positional, raw_of,
 WINDOW = 10
 SHARD_BYTES = 4 << 20
 #: Text of the benchmark held at once; a larger one is searched in several passes.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 SAMPLE = 8
 
 #: A-Z to lower case; any byte that isn't in a word to a space. Bytes from 0x80 are parts of letters.
@@ -158,13 +158,18 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item, raw in items:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(raw))
-            width = min(window, len(ids))
-            for k in range(len(ids) - width + 1 if ids else 0):
-                found.setdefault(width, {}).setdefault(ids[k : k + width], set()).add(item)
-        self.groups = [(np.array(list(by), np.int64).reshape(len(by), width), [sorted(x) for x in by.values()]) for width, by in sorted(found.items())]
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        words = [np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(raw)), np.int32) for _, raw in items]
+        widths = np.array([min(window, len(w)) for w in words], np.int64)
+        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # windows of one width, the items of all, where each window's begin and end
+        for width in sorted({*widths.tolist()} - {0}):
+            chosen = np.nonzero(widths == width)[0].tolist()
+            parts = [np.lib.stride_tricks.sliding_window_view(words[k], width) for k in chosen]
+            of = np.repeat([number[items[k][0]] for k in chosen], [len(x) for x in parts])
+            phrases, which = np.unique(np.concatenate(parts), axis=0, return_inverse=True)
+            pairs = np.unique(which.ravel().astype(np.int64) * len(self.names) + of)
+            self.groups.append((phrases, (pairs % len(self.names)).astype(np.int32), np.searchsorted(pairs // len(self.names), np.arange(len(phrases) + 1))))
 
     def find(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, list[str]]]]:
         """Hit word spans [start, end) counted over all documents' words, merged, and the items of each that has any."""
@@ -181,7 +186,7 @@ class Phrases:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), []
         index = FMIndex(symbols[kept], len(self.vocabulary) + 1)
         starts, ends, pairs = [], [], set()
-        for phrases, items in self.groups:
+        for phrases, items, at_items in self.groups:
             which, low, high = index.search(phrases)
             if not len(which):
                 continue
@@ -192,7 +197,7 @@ class Phrases:
             starts.append(at - doc)
             ends.append(at - doc + phrases.shape[1])
             for d, p in {*zip(doc.tolist(), of.tolist(), strict=True)}:
-                pairs.update((d, item) for item in items[p])
+                pairs.update((d, self.names[k]) for k in items[at_items[p] : at_items[p + 1]].tolist())
         if not starts:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), []
         starts, ends = np.concatenate(starts), np.concatenate(ends)
@@ -236,42 +241,61 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with n_words, hits (merged word spans, flat) and items (ids of the items with a window that occurs).
 
-    Blocks of the benchmark are broadcast one after another; each is of block_bytes of text at most, or one item. Null texts have no
-    words. The added columns go before those of the input, which are named _c0, _c1, ... here.
+    Blocks of the benchmark are broadcast one after another; each is of block_bytes of text at most, or one item. Beyond the first
+    block a pass reads the texts anew and keeps only (digest of the text, hits, items) of the distinct texts that are hit. Null
+    texts have no words. The added columns go before those of the input, which are named _c0, _c1, ... here.
     """
     added = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
     docs, (place,) = positional(docs, text)
     names = docs.columns
     at = names.index(place)
-    df = docs
-    for number, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
-        if number:
-            df = settle(df)
+    digest = F.sha2(F.coalesce(F.col(place), F.lit("")), 256)
+    first: DataFrame | None = None
+    more: list[DataFrame] = []
+    for block in _blocks(benchmark, item_id, item_text, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
 
-        def run(batches: Iterator[pa.RecordBatch], skip: int = 3 * bool(number), held=held) -> Iterator[pa.RecordBatch]:
-            phrases = held.value
-            for b in parts_of(batches, at + skip, SHARD_BYTES):
-                shard = [words_of(x) for x in raw_of(b.column(at + skip))]
-                firsts = np.concatenate([[0], np.cumsum([len(x) for x in shard])]).astype(np.int64)
-                opens, closes, found = phrases.find(shard)
-                hits: list[list[tuple[int, int]]] = [[] for _ in shard]
-                for s, e, d in zip(opens.tolist(), closes.tolist(), (np.searchsorted(firsts, opens, side="right") - 1).tolist(), strict=True):
-                    hits[d].append((s - int(firsts[d]), e - int(firsts[d])))
-                of = dict(found)
-                items = [of.get(k, []) for k in range(len(shard))]
-                n_words = [len(x) for x in shard]
-                del shard
-                if skip:
-                    for k, (old, ids) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                        hits[k] = _merge(hits[k] + list(zip(old[::2], old[1::2], strict=True)))
-                        items[k] = sorted({*items[k], *ids})
-                flat = [[x for pair in _merge(h) for x in pair] for h in hits]
-                new = [pa.array(n_words, pa.int64()), pa.array(flat, pa.list_(pa.int64())), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*new, *b.columns[skip:]], names=[f.name for f in added] + names)
-
-        df = map_batches(df, run, T.StructType([*added, *docs.schema.fields]))
-    return df
+        def found(b: pa.RecordBatch, column: int, held=held) -> list[pa.Array]:
+            shard = [words_of(x) for x in raw_of(b.column(column))]
+            firsts = np.concatenate([[0], np.cumsum([len(x) for x in shard])]).astype(np.int64)
+            opens, closes, of = held.value.find(shard)
+            hits: list[list[int]] = [[] for _ in shard]
+            for s, e, d in zip(opens.tolist(), closes.tolist(), (np.searchsorted(firsts, opens, side="right") - 1).tolist(), strict=True):
+                hits[d] += [s - int(firsts[d]), e - int(firsts[d])]
+            items = dict(of)
+            return [pa.array([len(x) for x in shard], pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array([sorted(items.get(k, [])) for k in range(len(shard))], pa.list_(pa.string()))]
+
+        if first is None:
+
+            def whole(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:
+                for b in parts_of(batches, at, SHARD_BYTES):
+                    yield pa.RecordBatch.from_arrays([*found(b, at), *b.columns], names=[f.name for f in added] + names)
+
+            first = map_batches(docs, whole, T.StructType([*added, *docs.schema.fields]))
+        else:
+
+            def hit(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:
+                for b in parts_of(batches, 1, SHARD_BYTES):
+                    new = found(b, 1)
+                    some = np.nonzero(np.diff(new[1].offsets.to_numpy()))[0]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(some), new[1].take(some), new[2].take(some)], names=["seal", "hits", "items"])
+
+            more.append(settle(map_batches(docs.select(digest.alias("seal"), F.col(place)), hit, "seal string, hits array<bigint>, items array<string>").dropDuplicates(["seal"])))
+    if not more:
+        return first
+    rest = more[0]
+    for df in more[1:]:
+        rest = rest.union(df)
+    rest = rest.groupBy("seal").agg(F.flatten(F.collect_list("hits")).alias("_hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("_items"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [(h or []) + (g or []) for h, g in zip(b.column(1).to_pylist(), b.column(b.num_columns - 2).to_pylist(), strict=True)]
+            hits = [[x for pair in _merge([*zip(h[::2], h[1::2], strict=True)]) for x in pair] for h in both]
+            items = [sorted({*(x or []), *(y or [])}) for x, y in zip(b.column(2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), *b.columns[3:-2]], names=[f.name for f in added] + names)
+
+    return map_batches(first.join(rest, digest == F.col("seal"), "left").drop("seal"), merge, T.StructType([*added, *docs.schema.fields]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
