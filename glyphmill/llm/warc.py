@@ -167,7 +167,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     p = pick(pages, page_id, url, html).toDF("page", "url", "html")
     p = p.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("seal", F.when(F.octet_length("html") >= least_bytes, F.sha2("html", 256)))
     first = p.where("seal IS NOT NULL").groupBy("seal").agg(F.max("page").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n").withColumnRenamed("seal", "_seal")
-    p = p.join(first, F.col("seal") == F.col("_seal"), "left")
+    # pages too small to be revisited have keys of their own, so that they aren't sent to one task
+    key = F.coalesce("seal", F.concat(F.lit("-"), F.xxhash64("page", "url", "html").cast("string")))
+    p = p.join(first, key == F.col("_seal"), "left")
     revisit = F.col("_seal").isNotNull() & F.col("keeper").isNotNull() & ~F.col("page").eqNullSafe(F.col("keeper"))
     p = p.select(F.col("page").cast("string").alias("page"), F.col("url").cast("string").alias("url"), "html", F.col("keeper").cast("string").alias("keeper"), revisit.alias("revisit"))
 
