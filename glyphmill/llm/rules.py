@@ -222,20 +222,24 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
-def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule), a row for each input row.
 
     Null, empty and wordless texts have zero counts and fail the base rule. Without usable labels the base rule alone decides.
     Repeated rows stay; a doc_id that is labelled twice counts as bad if either label is.
     """
-    rules = learn_from(docs, labels, doc_id, text)
+    rules = learn_from(docs, labels, doc_id, text, max_labelled=max_labelled)
     df = with_counts(pick(docs, doc_id, text), text)
     rule = F.when(base_failed(), F.lit("base")).otherwise(verdict(rules))
     return df.select(F.col(doc_id).alias("doc_id"), *[F.col(f"_{c}").alias(c) for c in COUNTS[:5]], base_failed().alias("base_failed"), rule.isNull().alias("kept"), rule.alias("rule"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that neither the base rule nor the learned list rejects, with all their columns, whatever their names."""
-    rules = learn_from(docs, labels, doc_id, text)
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The documents that neither the base rule nor the learned list rejects, with all their columns, whatever their names.
+
+    Null, empty and wordless texts go: the base rule rejects them. Texts are judged whole, however long. Repeated rows stay or go
+    together, as do rows of any id, null too; without usable labels the base rule alone decides, and an empty table stays empty.
+    """
+    rules = learn_from(docs, labels, doc_id, text, max_labelled=max_labelled)
     plain, (place,) = positional(docs, text)
     return with_counts(plain, place).where(~base_failed() & verdict(rules).isNull()).select(*plain.columns).toDF(*docs.columns)
