@@ -201,8 +201,8 @@ def learn_from(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     """Fits on labelled documents outside the held-out fold; of rows that repeat a doc_id the one with the smallest text counts."""
     chosen = pick(labels, doc_id, label).where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     chosen = chosen.groupBy(doc_id).agg(F.min(label).alias("_label")).orderBy(F.xxhash64(doc_id), doc_id).limit(max_labelled)
-    sample = pick(docs, doc_id, text).join(F.broadcast(chosen), doc_id).groupBy(F.xxhash64(doc_id).alias("h")).agg(F.min(F.struct(F.col("_label").cast("int"), F.col(text))).alias("x"))
-    sample = settle(sample.select("h", F.col("x._label").alias("good"), F.col(f"x.{text}").alias("text")))
+    sample = pick(docs, doc_id, text).join(F.broadcast(chosen), doc_id).groupBy(F.xxhash64(doc_id).alias("h")).agg(F.min(F.struct(F.col("_label").cast("int").alias("good"), F.col(text).alias("text"))).alias("x"))
+    sample = settle(sample.select("h", "x.good", "x.text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,67 +237,6 @@ def learn_from(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     return calibrate(chain, whole["share"].to_numpy(), whole["good"].to_numpy() == 1)
 
 
-def score(self, share: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * _stretch(share) + self.bias, -30, 30)))
-
-
-def _stretch(share: np.ndarray) -> np.ndarray:
-    """Spreads shares near 1, where documents of little bad text lie."""
-    return -np.log10(np.clip(1 - share, 0, 1) + 1e-3)
-
-
-def train(x: np.ndarray, chars: np.ndarray, lines: np.ndarray, good: np.ndarray, rounds: int = 3) -> Model:
-    """From the lines of documents and the documents' labels; without both labels every document gets the same score."""
-    rate = (good.sum() + 1) / (len(good) + 2)
-    full = with_neighbours(x, lines)
-    if not len(x) or good.all() or not good.any():
-        return Model(Chain(np.zeros((3 * N_OWN + 3, 2)), np.zeros((2, 2)), np.zeros(2)), 0.0, float(np.log(rate / (1 - rate))))
-    kept = lines > 0
-    of = np.repeat(np.arange(len(lines)), lines)
-    states = np.repeat(good, lines).astype(np.int64)
-    for _ in range(rounds):
-        chain = fit(full, states, lines[kept], 2)
-        m = marginals(chain.emissions(full), chain, Batch(lines[kept]))[0][:, 1]
-        low = np.full(len(lines), np.inf)
-        np.minimum.at(low, of, m)
-        states = np.where(good[of], 1, (m > 0.5) & (m > low[of])).astype(np.int64)
-    model = Model(chain, 1.0, 0.0)
-    z = _stretch(model.good_share(x, chars, lines))
-
-    def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
-        t = v[0] * z + v[1]
-        p = 1 / (1 + np.exp(-np.clip(t, -30, 30)))
-        g = p - good
-        return float((np.logaddexp(0, t) - good * t).sum() + 1e-2 * v[0] ** 2), np.array([g @ z + 2e-2 * v[0], g.sum()])
-
-    model.slope, model.bias = (float(v) for v in minimise(loss, np.zeros(2)))
-    return model
-
-
-def learn_from(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED, max_lines: int = MAX_LINES) -> Model:
-    """Fits on labelled documents outside the held-out fold."""
-    chosen = pick(labels, doc_id, label).where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
-    chosen = chosen.groupBy(doc_id).agg(F.min(label).alias("_label")).orderBy(F.xxhash64(doc_id), doc_id).limit(max_labelled)
-    sample = pick(docs, doc_id, text).join(F.broadcast(chosen), doc_id).select(F.xxhash64(doc_id).alias("h"), "_label", text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            offsets, data = buffers_of(b.column(2))
-            for i, j in slices(offsets):
-                x, chars, lines = line_features(data, offsets[i : j + 1])
-                ends = np.cumsum(lines)
-                some = [slice(e - n, min(e, e - n + max_lines)) for e, n in zip(ends.tolist(), lines.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([x[s].ravel() for s in some], pa.list_(pa.float64())), pa.array([chars[s] for s in some], pa.list_(pa.float64()))], ["h", "good", "x", "chars"])
-
-    rows = map_batches(sample, run, "h bigint, good int, x array<double>, chars array<double>").dropDuplicates(["h"]).toArrow().sort_by("h")
-    if not rows.num_rows:
-        return train(np.zeros((0, N_OWN)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool))
-    chars = rows["chars"].combine_chunks()
-    lines = np.diff(chars.offsets.to_numpy())
-    x = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, N_OWN)
-    return train(x, chars.flatten().to_numpy(), lines, rows["good"].to_numpy() == 1)
-
-
 def score(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED, max_lines: int = MAX_LINES
 ) -> DataFrame:
