@@ -117,7 +117,7 @@ def shape_features(token: str) -> list[float]:
     hexed = digits > 0 and not upper and alnum == len(core) and all(c in "0123456789abcdef" for c in core)
     opener = bool(_OPENERS.search(token))
     joins = sum(c in "=:" for c in core)
-    value = re.split("[=:]+", core)[-1].strip(_SIDES) if joins else core
+    value = max(re.split("[=:]+", core), key=len).strip(_SIDES) if joins else core
     word = max([len(r) for r in runs if "a" <= r[0] <= "z"], default=0)
     return [
         float(digits > 0 and lower > 0),
@@ -278,10 +278,14 @@ _LOW, _UP, _NUM = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0
 
 
 class Maker:
-    """Made-up secrets and made-up tokens that are none, from a seeded generator: the same seed gives the same ones."""
+    """Made-up secrets and made-up tokens that are none, from a seeded generator: the same seed gives the same ones.
 
-    def __init__(self, seed: int):
-        self.rng = random.Random(seed)
+    Kinds of values: 0 letters and digits, 1 base 64, 2 its form for addresses, 3 hexadecimal, 4 capitals and digits, 5 groups of these,
+    6 after a prefix, 7 three parts with dots.
+    """
+
+    def __init__(self, seed: int, kinds: tuple[int, ...] = (0, 0, 1, 2, 3, 4, 5, 6, 7)):
+        self.rng, self.kinds = random.Random(seed), kinds
 
     def some(self, chars: str, low: int, high: int) -> str:
         return "".join(self.rng.choices(chars, k=self.rng.randint(low, high)))
@@ -289,21 +293,21 @@ class Maker:
     def value(self) -> str:
         pick = self.rng.choice
         while True:
-            kind = self.rng.randrange(9)
-            if kind <= 1:
+            kind = pick(self.kinds)
+            if kind == 0:
                 v = self.some(_LOW + _UP + _NUM, 20, 48)
-            elif kind == 2:
+            elif kind == 1:
                 v = self.some(_LOW + _UP + _NUM + "+/", 24, 64) + pick(["", "=", "=="])
-            elif kind == 3:
+            elif kind == 2:
                 v = self.some(_LOW + _UP + _NUM + "-_", 22, 48)
-            elif kind == 4:
+            elif kind == 3:
                 v = self.some("0123456789" + pick(["ABCDEF", "abcdef"]), 24, 64)
-            elif kind == 5:
+            elif kind == 4:
                 v = self.some(_UP + _NUM, 16, 32)
-            elif kind == 6:
+            elif kind == 5:
                 size = self.rng.randint(4, 6)
                 v = "-".join(self.some(_UP + _NUM, size, size) for _ in range(self.rng.randint(4, 6)))
-            elif kind == 7:
+            elif kind == 6:
                 v = self.some(_LOW, 2, 5) + pick("_-") + self.some(_LOW + _UP + _NUM, 20, 40)
             else:
                 v = ".".join(self.some(_LOW + _UP + _NUM + "-_", 20, 40) for _ in range(3))
@@ -319,6 +323,8 @@ class Maker:
         style = self.rng.random()
         if style < 0.4:
             return [value], [1]
+        if self.rng.random() < 0.3:  # shorter ones after a name only
+            value = quote + self.some(_UP, 2, 4) + self.some(_LOW + _UP + _NUM + "!@#%^", 6, 10) + self.some(_NUM, 1, 2) + self.some(_LOW, 1, 3) + quote
         if style < 0.65:
             return [name + pick(["=", ":", "=>", ":="]) + value], [1]
         if style < 0.8:
@@ -385,12 +391,12 @@ class Maker:
         return Window(tokens, states, whole)
 
 
-def train(windows: list[Window], seed: int = 1) -> Tagger:
+def train(windows: list[Window], maker: Maker | None = None) -> Tagger:
     """From windows of which some have marked tokens; if none has, the tagger tags nothing."""
     if not any(any(w.states) for w in windows):
         first = np.array([0.0, -20.0, -20.0])
         return Tagger(Chain(np.zeros((3 * N_SHAPE + N_FILE, 3)), np.tile(first, (3, 1)), first))
-    maker = Maker(seed)
+    maker = maker or Maker(1)
     every = [w for w in [*windows, *[maker.widened(w) for w in windows for _ in range(1 + any(w.states))]] if w.tokens]
     lengths = np.array([len(w.tokens) for w in every])
     seen: dict[str, int] = {}
