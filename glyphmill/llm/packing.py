@@ -31,8 +31,8 @@ from glyphmill.llm.rows import buffers_of, map_batches, pick, settle, slices
 CAPACITY = 4096
 UNIT = 8
 END_ID = 2
-#: About so many bytes of words are remembered by a worker process, and so many go with each beside its characters.
-REMEMBERED_BYTES, ENTRY_BYTES = 128 << 20, 220
+#: About so many bytes of words are remembered by a task, and so many go with each beside its characters.
+REMEMBERED_BYTES, ENTRY_BYTES = 64 << 20, 220
 
 
 @lru_cache(1)
@@ -204,10 +204,10 @@ class WordTokenizer:
         return ids, ends[at + np.arange(len(at))]
 
 
-@lru_cache(1)
-def _tokenizer(spec: str) -> WordTokenizer:
-    """One for each worker process: what a task has learned serves the next one."""
-    return WordTokenizer(spec)
+def _forget() -> None:
+    """Lets go of the tokenizers: a worker process lives on after its task, and other stages need its memory."""
+    _whole.cache_clear()
+    _by_word.cache_clear()
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -218,7 +218,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: s
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _tokenizer(held.value)
+        encoder = WordTokenizer(held.value)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity // UNIT + 2, np.int64)
         for b in batches:
@@ -249,6 +249,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: s
                     columns.append(pa.array(cut, pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        del encoder
+        _forget()
 
     kind = df.schema[doc_id].dataType.simpleString()
     return map_batches(df, run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, size int, nth bigint" + ", ids array<bigint>" * keep_ids)
