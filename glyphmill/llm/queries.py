@@ -93,10 +93,11 @@ FROM k
 #: The checksum goes byte by byte through the table of its polynomial.
 _OP7 = f"""
 WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
-d AS (SELECT doc_id, source, coalesce('=' || source, '') AS stratum, strlen(coalesce(text, '')) + 8 AS size, md5(concat_ws(':', '{sharding.SEED}', doc_id::VARCHAR)) AS h,
+d AS (SELECT doc_id, source, coalesce('=' || source, '') AS stratum, strlen(coalesce(text, '')) + 8 AS size,
              list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
-c AS (SELECT doc_id, source, stratum, size, h, xor(list_reduce(list_concat([4294967295], bytes), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32 FROM d, t),
-r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id, text_crc32, size) AS rank, count(*) OVER (PARTITION BY stratum) AS n FROM c),
+c AS (SELECT doc_id, source, stratum, size, xor(list_reduce(list_concat([4294967295], bytes), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32 FROM d, t),
+h AS (SELECT *, md5(concat_ws(':', '{sharding.SEED}', doc_id::VARCHAR, text_crc32::BIGINT::VARCHAR, size::VARCHAR)) AS h FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id, text_crc32, size) AS rank, count(*) OVER (PARTITION BY stratum) AS n FROM h),
 p AS (SELECT *, row_number() OVER (ORDER BY (2 * rank - 1) / (2 * n), stratum, rank) - 1 AS place, count(*) OVER () AS total FROM r)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, ((place * {sharding.SHARDS}) // total)::INT AS shard,
        place - (((place * {sharding.SHARDS}) // total) * total + {sharding.SHARDS - 1}) // {sharding.SHARDS} AS slot, NULL::INT AS grown_shard, source

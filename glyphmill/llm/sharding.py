@@ -18,15 +18,30 @@ from glyphmill.llm.rows import pick
 
 SHARDS = 24
 SEED = "glyphmill"
-BUCKET_ROWS = 20_000
+#: About so many rows are ranked together, and so many neighbouring buckets are summed up together.
+BUCKET_ROWS, COARSE = 2_000, 4_096
+
+
+def _with_before(counts: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """counts (keys, place, n) with `before`, the rows at smaller places of the same keys, and `of`, the rows of the keys.
+
+    Sums are taken over groups of COARSE places, then over the groups, so neither window grows with the rows.
+    """
+    counts = counts.withColumn("coarse", F.floor(F.col(place) / COARSE))
+    groups = counts.groupBy(*keys, "coarse").agg(F.sum("n").alias("m"))
+    over = W.partitionBy(*keys)
+    groups = groups.select(*keys, "coarse", (F.sum("m").over(over.orderBy("coarse")) - F.col("m")).alias("ahead"), F.sum("m").over(over).alias("of"))
+    inner = F.sum("n").over(W.partitionBy(*keys, "coarse").orderBy(place)) - F.col("n")
+    return counts.withColumn("inner", inner).join(groups, [*keys, "coarse"]).select(*keys, place, (F.col("ahead") + F.col("inner")).alias("before"), "of")
 
 
 def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, source), a row for each input row; the law is `rows`.
 
     Counts of shards differ by one at most; slots of a shard have no gap. Rows with a null source are a stratum of their own. Null
-    texts have size 8 and the checksum of an empty text. Repeated rows get places of their own; ties of digest and id are put in
-    order by checksum and size, and rows equal in all of these are alike in the result. An empty table gives no rows.
+    texts have size 8 and the checksum of an empty text. The digest is of doc_id, checksum and size, so rows that repeat or lack an
+    id are spread like others. Repeated rows get places of their own; ties of the digest are put in order by id, checksum and size.
+    Only rows equal in all of these share a digest and are ranked in one task. An empty table gives no rows.
     """
     d = pick(docs, doc_id, text, source).toDF("doc_id", "text", "source")
     raw = F.coalesce("text", F.lit(""))
@@ -36,22 +51,19 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, doc_id:
         (F.octet_length(raw) + 8).cast("long").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("stratum"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary")).alias("h"),
     )
+    d = d.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.col("text_crc32").cast("string"), F.col("size").cast("string")).cast("binary")))
     total = docs.count()
     digits = min(6, max(1, math.ceil(math.log(max(1, total / BUCKET_ROWS), 16))))
     buckets = 16**digits
-    d = d.withColumn("bucket", F.substring("h", 1, digits))
-    counts = d.groupBy("stratum", "bucket").agg(F.count("*").alias("n"))
-    whole = W.partitionBy("stratum")
-    counts = counts.select("stratum", "bucket", (F.sum("n").over(whole.orderBy("bucket")) - F.col("n")).alias("before"), F.sum("n").over(whole).alias("of"))
+    d = d.withColumn("bucket", F.conv(F.substring("h", 1, digits), 16, 10).cast("long"))
+    counts = _with_before(d.groupBy("stratum", "bucket").agg(F.count("*").alias("n")), ["stratum"], "bucket")
     in_bucket = F.row_number().over(W.partitionBy("stratum", "bucket").orderBy("h", "doc_id", "text_crc32", "size"))
-    d = d.join(counts, ["stratum", "bucket"]).withColumn("rank", F.col("before") + in_bucket)
+    d = d.join(counts, ["stratum", "bucket"]).withColumn("rank", F.col("before") + in_bucket).drop("before")
     d = d.withColumn("share", (2 * F.col("rank") - 1) / (2 * F.col("of"))).withColumn("span", F.floor(F.col("share") * buckets))
-    spans = d.groupBy("span").agg(F.count("*").alias("n"))
-    spans = spans.select("span", (F.sum("n").over(W.orderBy("span")) - F.col("n")).alias("ahead"))
-    place = F.col("ahead") + F.row_number().over(W.partitionBy("span").orderBy("share", "stratum", "rank")) - 1
-    d = d.join(spans, "span").withColumn("place", place)
+    spans = _with_before(d.groupBy("span").agg(F.count("*").alias("n")), [], "span")
+    place = F.col("before") + F.row_number().over(W.partitionBy("span").orderBy("share", "stratum", "rank")) - 1
+    d = d.drop("of").join(spans, "span").withColumn("place", place)
     # place * shards / total, and its inverse rounded up, in whole numbers
     d = d.withColumn("shard", F.expr(f"(place * {shards}) DIV {max(1, total)}"))
     first = F.expr(f"(shard * {total} + {shards - 1}) DIV {shards}")
