@@ -3,9 +3,10 @@
 Two 64-bit fingerprints that differ in at most two bits differ in at most two of their eight bytes, so they share at least six
 positional bytes. Postings of a single positional byte would hold n/256 fingerprints each; the index therefore keys its postings
 on every set of six positions with their bytes (28 postings a fingerprint). A pair meets in such a list exactly if its tally of
-shared positional bytes reaches the guaranteed minimum, so the tally is done by the index and no pair below the minimum is
-ever formed. All members of a list agree on six bytes: a list has at most 65,536 distinct members whatever the corpus holds.
-Inside a list the pairs are verified by Hamming distance, and only a spanning star of each linked group leaves it, not all pairs.
+shared positional bytes can reach the guaranteed minimum. All members of a list agree on six bytes: a list has at most 65,536 distinct
+members whatever the corpus holds. Candidates of a list, found by a look-up of each member's neighbours, have their shared positional
+bytes tallied; those of the minimum or more are verified by Hamming distance, and only a spanning star of each linked group leaves the
+list, not all pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ FREE = [c for c in combinations(range(BYTES), MAX_BITS)]
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 _LANE = (np.arange(BYTES) * 256)[None, :]
+_SHIFTS = np.arange(0, 64, 8, dtype=np.uint64)[None, :]
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 _FLIPS = np.array([0] + [1 << a for a in range(16)] + [1 << a | 1 << b for a, b in combinations(range(16), 2)], np.int64)[1:]
 
@@ -56,16 +58,17 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp BIGINT): the fingerprint's 64 bits as a signed number; a row for each input row."""
+    """(doc_id, fp BIGINT, seal BIGINT): the fingerprint's 64 bits as a signed number, and a hash of the text; a row for each input row."""
     df = pick(docs, doc_id, text)
+    df = df.withColumn("_seal", F.xxhash64(text))
     kind = df.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts_of(batches, 1):
             fp = np.fromiter((fingerprint(x, shingle) for x in raw_of(b.column(1))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], ["doc_id", "fp", "seal"])
 
-    return map_batches(df, run, f"doc_id {kind}, fp bigint")
+    return map_batches(df, run, f"doc_id {kind}, fp bigint, seal bigint")
 
 
 def _signed(mask: int) -> int:
@@ -90,13 +93,17 @@ def star_links(members: np.ndarray, slot: int) -> tuple[np.ndarray, np.ndarray]:
     a, b = FREE[slot]
     rest = (((bits >> np.uint64(8 * a)) & np.uint64(255)) | (((bits >> np.uint64(8 * b)) & np.uint64(255)) << np.uint64(8))).astype(np.int64)
     if len(members) <= 64:
-        i, j = np.nonzero(np.triu(np.bitwise_count(rest[:, None] ^ rest[None, :]) <= MAX_BITS, 1))
+        i, j = np.triu_indices(len(members), 1)
     else:
         at = np.full(1 << 16, -1, np.int64)
         at[rest] = np.arange(len(rest))
         near = [(k := at[rest ^ flip], np.nonzero(k >= 0)[0]) for flip in _FLIPS]
         i = np.concatenate([here for _, here in near])
         j = np.concatenate([k[here] for k, here in near])
+    shared = BYTES - ((bits[i] ^ bits[j])[:, None] >> _SHIFTS & np.uint64(255) > 0).sum(1)
+    i, j = i[shared >= MIN_SHARED], j[shared >= MIN_SHARED]
+    close = np.bitwise_count(bits[i] ^ bits[j]) <= MAX_BITS
+    i, j = i[close], j[close]
     label = np.arange(len(members))
     while True:
         was = label.copy()
@@ -147,6 +154,21 @@ def components(edges: DataFrame) -> DataFrame:
         e = settle(small.select("x.u", "x.v").where("u <> v").distinct())
 
 
+#: Fingerprints whose postings a task makes.
+ROWS_A_TASK = 25_000
+
+
+def rooted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, seal) of every row, and (fp, first, root) of every distinct fingerprint: its smallest doc_id, and the smallest
+    fingerprint of its component."""
+    fp = settle(fingerprints(docs, doc_id, text, shingle))
+    classes = settle(fp.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    # each fingerprint becomes 28 postings, so few small partitions would make a few long tasks
+    spread = classes.select("fp").repartition(max(1, -(-classes.count() // ROWS_A_TASK)), "fp")
+    roots = components(links(spread)).withColumnRenamed("node", "fp")
+    return fp, classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each input row.
 
@@ -154,20 +176,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     have fingerprint zero, and link like any other. Null ids get a row and are passed over when the smallest id is taken; a
     component of null ids only has a null component_id. Repeated rows stay.
     """
-    fp = settle(fingerprints(docs, doc_id, text, shingle))
-    classes = settle(fp.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(classes.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(lowest, "root").select("fp", "component_id")
+    fp, classes = rooted(docs, doc_id, text, shingle)
+    lowest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    of = classes.join(lowest, "root").select("fp", "component_id")
     return fp.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The documents, without those whose component holds a smaller doc_id; all columns stay, whatever their names.
+    """One row of each component: that of the smallest doc_id, null last; all columns stay, whatever their names.
 
-    Rows with a null doc_id stay. Rows that repeat a doc_id are one document: they stay or go together.
+    Of rows that repeat this doc_id the one whose text has the smallest hash stays, and of rows that repeat both any one.
     """
-    gone = near_duplicates(docs, doc_id, text, shingle).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    plain, (key,) = positional(docs, doc_id)
-    return plain.join(gone, F.col(key) == F.col("_gone"), "left_anti").toDF(*docs.columns)
+    fp, classes = rooted(docs, doc_id, text, shingle)
+    rank = F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "seal")
+    tally = settle(fp.join(classes.select("fp", "root"), "fp").groupBy("root", "doc_id", "seal").agg(F.count("*").alias("n")))
+    best = tally.groupBy("root").agg(F.min(rank).alias("b"))
+    # a doc_id and a text have one fingerprint, hence one component
+    judged = tally.join(best, "root").select(F.col("doc_id").alias("_id"), F.col("seal").alias("_of"), "n", (rank == F.col("b")).alias("stays"))
+    judged = settle(judged.where("NOT stays OR n > 1").select("_id", "_of", "stays"))
+    plain, (key, body) = positional(docs, doc_id, text)
+    same = F.col(key).eqNullSafe(F.col("_id")) & (F.xxhash64(body) == F.col("_of"))
+    kept = plain.join(judged, same, "left_anti")
+    repeated = judged.where("stays")
+    if not repeated.isEmpty():
+        kept = kept.union(plain.join(repeated, same, "left_semi").withColumn("_of", F.xxhash64(body)).dropDuplicates([key, "_of"]).drop("_of"))
+    return kept.toDF(*docs.columns)
