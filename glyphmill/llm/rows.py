@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphmill.functions.storage import settle, shared_folder  # noqa: F401
+
 #: Bytes of text worked on at once inside a task, unless a single text is longer.
 SLICE_BYTES = 4 << 20
 
@@ -39,23 +40,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one is made.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as in settle()."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphmill-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def trim() -> None:
     """Gives memory that isn't in use back to the system: Python workers live on between tasks."""
     gc.collect()
