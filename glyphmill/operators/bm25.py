@@ -7,8 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.functions import tokens
+from glyphmill.functions.storage import settle
 
 K1, B = 1.5, 0.75
+#: Words have no white space in them.
+EVERY = " "
 
 
 def ranked(scored: DataFrame, k: int, by: str = "score", descending: bool = True, digits: int = 6) -> DataFrame:
@@ -31,13 +34,16 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query_text: str = "query_text") -> DataFrame:
     """(query_id, rank, doc_id, score). A query's repeated terms count again; documents without a term of the query don't appear.
 
-    Only the queries' terms are counted and shuffled. Lengths and their mean come from the arrays, without an explode.
+    The documents are read once: the queries' terms are counted and shuffled, and lengths come with them.
     """
-    asked = query_terms(queries, query_id, query_text)
+    asked = settle(query_terms(queries, query_id, query_text))
+    # each document adds a term that no text has, by which it is counted even without a term of the queries
     d = docs.select(F.col(doc_id).alias("doc_id"), tokens.words(F.col(text)).alias("words"))
-    vocabulary = asked.select("term").distinct()
-    postings = d.select("doc_id", F.size("words").alias("length"), F.explode("words").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
-    whole = statistics(docs, doc_id, text)
+    vocabulary = asked.select("term").distinct().union(docs.sparkSession.createDataFrame([(EVERY,)], "term string"))
+    found = d.select("doc_id", F.size("words").alias("length"), F.explode(F.array_append("words", F.lit(EVERY))).alias("term")).join(vocabulary, "term", "left_semi")
+    found = settle(found.groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf")))
+    postings = found.where(F.col("term") != EVERY)
+    whole = found.where(F.col("term") == EVERY).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_docs"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("avg_length"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     n = F.col("n_docs")
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

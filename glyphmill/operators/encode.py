@@ -13,17 +13,28 @@ from glyphmill.functions.lexicon import CLUSTERS, FALLBACK, PREFIXES, RANGES, SL
 from glyphmill.functions.storage import settle
 
 REGISTRY = "word string, id int, cluster string, method string"
+#: Unknown words that a task resolves.
+WORDS_A_TASK = 2_000
 #: More words of a cluster than there are numbers can't get one, so no more are ranked.
 CAPACITY = max(hi - lo + 1 for lo, hi in RANGES.values())
 
 
+def _one_of(words: list[str]) -> str:
+    """A pattern of the longest of the words, tried letter by letter along their common beginnings instead of word by word."""
+    tails: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            tails.setdefault(w[0], []).append(w[1:])
+    branches = [re.escape(c) + (_one_of(rest) if any(rest) else "") for c, rest in sorted(tails.items())]
+    return "(?:" + "|".join(branches) + ")" + ("?" if "" in words else "")
+
+
 def pattern(lexicon: Lexicon) -> str:
     """One pattern whose alternatives are the encoder's cases in order: a run of letters that is a known token as a whole; the longest
     known token of two or more characters; the rest of the run, unknown; a single character."""
-    known = sorted(lexicon.lookup, key=lambda t: (-len(t), t))
-    whole = "|".join(re.escape(t) for t in known if t.isalpha())
-    part = "|".join(re.escape(t) for t in known if len(t) > 1)
-    return f"(?:{whole})(?!\\p{{L}})|(?:{part})|\\p{{L}}+|(?s:.)"
+    whole = _one_of([t for t in lexicon.lookup if t.isalpha()])
+    part = _one_of([t for t in lexicon.lookup if len(t) > 1])
+    return f"{whole}(?!\\p{{L}})|{part}|\\p{{L}}+|(?s:.)"
 
 
 def surfaces(text: Column, lexicon: Lexicon) -> Column:
@@ -72,8 +83,13 @@ def resolve(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     word, n = F.col("word"), F.length("word")
     known = F.col("vocabulary")
     l1, l2 = _hint(word, PREFIXES, "startswith", 2), _hint(word, SUFFIXES, "endswith", 1)
-    near = F.array_min(F.transform(F.filter(known, lambda v: F.abs(F.length(v["known"]) - n) <= 5), lambda v: F.struct(F.levenshtein(word, v["known"]).alias("d"), v["ord"].alias("ord"), v["cluster"].alias("cluster"))))
-    l3 = F.when(F.col("_nearest.d") <= F.greatest(F.lit(2), F.floor(n / 3)), F.col("_nearest.cluster"))
+    # only a word within the threshold counts, so lengths further apart are passed over and a distance beyond it is -1
+    most = "greatest(2, cast(floor(length(word) / 3) AS INT))"
+    near = F.expr(
+        f"array_min(filter(transform(filter(vocabulary, v -> abs(length(v.known) - length(word)) <= least(5, {most})), "
+        f"v -> struct(levenshtein(word, v.known, {most}) AS d, v.ord AS ord, v.cluster AS cluster)), v -> v.d >= 0))"
+    )
+    l3 = F.when(F.col("_nearest.d").isNotNull(), F.col("_nearest.cluster"))
 
     def runs(k: int) -> Column:
         at = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
@@ -117,8 +133,10 @@ def register(unknown: DataFrame, lexicon: Lexicon, registry: DataFrame | None =
     spark = unknown.sparkSession
     new = unknown if registry is None else unknown.join(registry.select("word"), "word", "left_anti")
     base = _bases(spark, lexicon, registry)
-    # ranks beyond a cluster's numbers aren't needed, so the window's limit drops them before the shuffle
-    found = settle(resolve(new.select("word", "seen"), lexicon))
+    # resolving a word is much work on few bytes, so partitions go by the number of words; ranks beyond a cluster's numbers aren't
+    # needed, so the window's limit drops them before the shuffle
+    new = settle(new.select("word", "seen"))
+    found = settle(resolve(new.repartition(max(1, -(-new.count() // WORDS_A_TASK)), "word"), lexicon))
     own = W.partitionBy("cluster").orderBy("seen", "word")
     ranked = found.withColumn("rn", F.row_number().over(own)).where(F.col("rn") <= CAPACITY).join(F.broadcast(base), "cluster")
     fits = ranked.where((F.col("cluster") != FALLBACK) & (F.col("top") + F.col("rn") <= F.col("hi"))).select("word", (F.col("top") + F.col("rn")).cast("int").alias("id"), "cluster", "method")
@@ -148,9 +166,12 @@ def unknown_words(tokens_: DataFrame) -> DataFrame:
     return tokens_.where("id IS NULL").groupBy(F.col("surface").alias("word")).agg(F.min(F.struct("doc_id", "pos")).alias("seen"))
 
 
-def trace(docs: DataFrame, lexicon: Lexicon, registry: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, pos, surface, id, cluster, method, unknown) of every token; without a registry the documents make one of their own."""
-    t = tokens(docs, lexicon, doc_id, text)
+def trace(docs: DataFrame, lexicon: Lexicon, registry: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", split: DataFrame | None = None) -> DataFrame:
+    """(doc_id, pos, surface, id, cluster, method, unknown) of every token; without a registry the documents make one of their own.
+
+    `split` are the documents' tokens(), where the caller has settled them.
+    """
+    t = tokens(docs, lexicon, doc_id, text) if split is None else split
     reg = register(unknown_words(t), lexicon) if registry is None else registry
     # known tokens get keys of their own that match no word, so that they are spread over the join's partitions
     key = F.when(F.col("cluster").isNull(), F.col("surface")).otherwise(F.concat(F.lit("\0"), (F.col("pos") % 64).cast("string")))
@@ -168,9 +189,9 @@ def blueprints(traced: DataFrame) -> DataFrame:
     return best.select("doc_id", "slot", F.col("best.id").alias("value"))
 
 
-def encode(docs: DataFrame, lexicon: Lexicon, registry: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids, blueprint, row, signature), a row for each document."""
-    t = trace(docs, lexicon, registry, doc_id, text)
+def encode(docs: DataFrame, lexicon: Lexicon, registry: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", split: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ids, blueprint, row, signature), a row for each document. `split` as in trace()."""
+    t = settle(trace(docs, lexicon, registry, doc_id, text, split))
     ids = t.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
     slots = blueprints(t).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slot", "value")))).alias("blueprint"))
     empty = F.create_map().cast("map<int,int>")

@@ -18,9 +18,11 @@ from glyphmill.operators import encode, stats
 ZONE = 150
 
 
-def index(docs: DataFrame, lexicon: Lexicon, registry: DataFrame | None = None, idf: DataFrame | None = None, clusters: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents' index; with idf and clusters also weight, domain and cid."""
-    out = encode.encode(docs, lexicon, registry, doc_id, text)
+def index(
+    docs: DataFrame, lexicon: Lexicon, registry: DataFrame | None = None, idf: DataFrame | None = None, clusters: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", split: DataFrame | None = None
+) -> DataFrame:
+    """The documents' index; with idf and clusters also weight, domain and cid. `split` are the documents' tokens, if settled."""
+    out = encode.encode(docs, lexicon, registry, doc_id, text, split)
     if idf is not None:
         out = out.join(stats.sentence_weights(docs, idf, doc_id, text), "doc_id").join(stats.domain_hints(docs, lexicon, doc_id, text), "doc_id")
     if clusters is not None:
@@ -195,19 +197,19 @@ class Store:
         if self.docs is None:
             raise RuntimeError("nothing was added")
         self.idf = settle(stats.idf(self.docs))
-        self.cooc = settle(stats.cooccurrence(self.docs))
-        self.clusters = settle(stats.word_clusters(self.cooc, self.n_clusters))
-        self.registry = settle(encode.register(encode.unknown_words(encode.tokens(self.docs, self.lexicon)), self.lexicon))
-        self.indexed = settle(index(self.docs, self.lexicon, self.registry, self.idf, self.clusters))
+        self.clusters = settle(stats.word_clusters(self.docs, self.n_clusters))
+        split = settle(encode.tokens(self.docs, self.lexicon))
+        self.registry = settle(encode.register(encode.unknown_words(split), self.lexicon))
+        self.indexed = settle(index(self.docs, self.lexicon, self.registry, self.idf, self.clusters, split=split))
         return self
 
     def _queries(self, queries: DataFrame) -> DataFrame:
         if self.indexed is None:
             raise RuntimeError("build() comes before search")
         q = queries.select(F.col("query_id").alias("doc_id"), F.col("query_text").alias("text"))
-        t = encode.tokens(q, self.lexicon)
-        registry = encode.register(encode.unknown_words(t), self.lexicon, self.registry)
-        return settle(as_queries(index(q, self.lexicon, registry, self.idf, self.clusters)))
+        split = settle(encode.tokens(q, self.lexicon))
+        registry = encode.register(encode.unknown_words(split), self.lexicon, self.registry)
+        return settle(as_queries(index(q, self.lexicon, registry, self.idf, self.clusters, split=split)))
 
     def search(self, queries: DataFrame, k: int = 10, threshold: float = 100.0, radius: int = ZONE, excluded: DataFrame | None = None) -> DataFrame:
         return clustered(self._queries(queries), self.indexed, k, threshold, radius, excluded, weighted=True)

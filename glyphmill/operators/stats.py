@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import tokens
 from glyphmill.functions.lexicon import COOCCURRENCE_STOP_WORDS, GENERAL, STOP_WORDS, Lexicon
+from glyphmill.functions.storage import settle
 
 WINDOW = 6
 
@@ -48,43 +49,56 @@ def domain_hints(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text
     return docs.select(F.col(doc_id).alias("doc_id")).join(won, "doc_id", "left").select("doc_id", F.coalesce("domain", F.lit(GENERAL)).alias("domain"))
 
 
-def cooccurrence(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _content(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    w = docs.select(F.col(doc_id).alias("doc_id"), tokens.content_words(F.col(text), COOCCURRENCE_STOP_WORDS).alias("words"))
+    # the generator keeps the array as a column; a reference to it inside the lambdas then costs nothing
+    return w.select("doc_id", F.explode(F.array("words")).alias("words"))
+
+
+def cooccurrence(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", heads: DataFrame | None = None) -> DataFrame:
     """(w1, w2, n, seen): ordered pairs of content words at most `window` apart; seen is the pair's first (doc, i, j).
 
     The pairs come from shifted copies of each text's own array, so nothing is joined; 2 * window rows a word are combined on the map
-    side before the shuffle.
+    side before the shuffle. With `heads` (word), a few words, only their pairs are formed, those with a head as w1.
     """
-    w = docs.select(F.col(doc_id).alias("doc_id"), tokens.content_words(F.col(text), COOCCURRENCE_STOP_WORDS).alias("words"))
-    # the generator keeps the array as a column; a reference to it inside the lambdas then costs nothing
-    w = w.select("doc_id", F.explode(F.array("words")).alias("words"))
-    at = w.select("doc_id", "words", F.posexplode("words").alias("i", "w1"))
+    at = _content(docs, doc_id, text).select("doc_id", "words", F.posexplode("words").alias("i", "w1"))
+    if heads is not None:
+        at = at.join(F.broadcast(heads.select(F.col("word").alias("w1"))), "w1", "left_semi")
     first = F.greatest(F.col("i") - window, F.lit(0))
     near = F.slice("words", first + 1, F.col("i") - first + 1 + window)
     pairs = at.select("doc_id", "i", "w1", first.alias("first"), F.posexplode(near).alias("k", "w2")).withColumn("j", F.col("first") + F.col("k")).where("i <> j")
     return pairs.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "i", "j")).alias("seen"))
 
 
-def word_totals(cooc: DataFrame) -> DataFrame:
-    """(word, total, seen): co-occurrences of each word and where it came first."""
-    return cooc.groupBy(F.col("w1").alias("word")).agg(F.sum("n").alias("total"), F.min("seen").alias("seen"))
+def word_totals(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(word, total, seen): co-occurrences of each word and where it came first, as the sums over cooccurrence() would give them.
+
+    No pair is formed: the word at place i of n has min(i, window) neighbours before it and min(n - 1 - i, window) after it, and its
+    first pair is with the first of them.
+    """
+    at = _content(docs, doc_id, text).select("doc_id", F.size("words").alias("n"), F.posexplode("words").alias("i", "word")).where("n > 1")
+    near = F.least(F.col("i"), F.lit(window)) + F.least(F.col("n") - 1 - F.col("i"), F.lit(window))
+    first = F.when(F.col("i") == 0, 1).otherwise(F.greatest(F.col("i") - window, F.lit(0)))
+    return at.groupBy("word").agg(F.sum(near.cast("long")).alias("total"), F.min(F.struct("doc_id", "i", first.alias("j"))).alias("seen"))
 
 
-def word_clusters(cooc: DataFrame, n_clusters: int, top_words: int = 150) -> DataFrame:
+def word_clusters(docs: DataFrame, n_clusters: int, top_words: int = 150, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(word, cid): the most connected words around seeds.
 
     Seeds are the first of the 40 best words in order of the largest overlap of their first eight neighbours with those of the 30
-    best; other words join the seed they co-occur with most, of equals the earlier one. top_words bounds everything after the
-    totals, so those steps are on a few hundred rows whatever the corpus holds.
+    best; other words join the seed they co-occur with most, of equals the earlier one. Totals are taken without forming pairs, and
+    pairs are formed of the 40 best words only. top_words bounds what follows.
     """
     if n_clusters < 2:
         raise ValueError("n_clusters must be at least 2")
-    totals = word_totals(cooc).where(F.length("word") > 2)
+    totals = word_totals(docs, window, doc_id, text).where(F.length("word") > 2)
     best = totals.orderBy(F.desc("total"), "seen", "word").limit(top_words)
-    best = best.withColumn("rk", F.row_number().over(W.orderBy(F.desc("total"), "seen", "word")))
+    best = settle(best.withColumn("rk", F.row_number().over(W.orderBy(F.desc("total"), "seen", "word"))))
     best = best.withColumn("of", F.count("*").over(W.partitionBy()))
     n = F.when(F.col("of") < n_clusters, F.greatest(F.lit(2), F.floor(F.col("of") / 3))).otherwise(n_clusters)
     best = best.withColumn("n_seeds", n)
     heads = best.where("rk <= 40").select("word", "rk", "n_seeds")
+    cooc = settle(cooccurrence(docs, window, doc_id, text, heads))
     near = cooc.join(F.broadcast(heads), cooc["w1"] == heads["word"]).select("word", "rk", "n_seeds", "w2", "seen")
     near = near.withColumn("k", F.row_number().over(W.partitionBy("word").orderBy("seen"))).where("k <= 8")
     first = near.groupBy("word", "rk", "n_seeds").agg(F.collect_set("w2").alias("eight"))
@@ -92,16 +106,16 @@ def word_clusters(cooc: DataFrame, n_clusters: int, top_words: int = 150) -> Dat
     overlap = first.join(others, F.col("word") != F.col("other"), "left").groupBy("word", "rk", "n_seeds").agg(F.sum(F.coalesce(F.size(F.array_intersect("eight", "their")), F.lit(0))).alias("overlap"))
     seeds = overlap.withColumn("cid", F.row_number().over(W.orderBy(F.desc("overlap"), "rk")) - 1).where("cid < n_seeds").select(F.col("word").alias("seed"), "cid")
     rest = best.join(F.broadcast(seeds), F.col("word") == F.col("seed"), "left_anti").select("word")
-    ties = cooc.select(F.col("w1").alias("word"), F.col("w2").alias("seed"), "n").union(cooc.select("w2", "w1", "n"))
+    ties = cooc.select(F.col("w2").alias("word"), F.col("w1").alias("seed"), "n")  # a pair counts the same in either order
     ties = ties.join(F.broadcast(seeds), "seed").join(F.broadcast(rest), "word").groupBy("word", "cid").agg(F.sum("n").alias("n"))
     joined = ties.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("less"), "cid")).alias("b")).select("word", F.col("b.cid").alias("cid"))
     others_ = rest.join(joined, "word", "left").select("word", F.coalesce("cid", F.lit(0)).alias("cid"))
     return seeds.select(F.col("seed").alias("word"), "cid").union(others_).select("word", F.col("cid").cast("int").alias("cid"))
 
 
-def cluster_labels(clusters: DataFrame, cooc: DataFrame, k: int = 5) -> DataFrame:
+def cluster_labels(clusters: DataFrame, totals: DataFrame, k: int = 5) -> DataFrame:
     """(cid, labels): the words of largest (total, word) of each cluster."""
-    t = clusters.join(word_totals(cooc).select("word", "total"), "word", "left").select("cid", "word", F.coalesce("total", F.lit(0)).alias("total"))
+    t = clusters.join(totals.select("word", "total"), "word", "left").select("cid", "word", F.coalesce("total", F.lit(0)).alias("total"))
     t = t.withColumn("rk", F.row_number().over(W.partitionBy("cid").orderBy(F.desc("total"), F.desc("word")))).where(F.col("rk") <= k)
     return t.groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "word"))), lambda x: x["word"]).alias("labels"))
 

@@ -78,25 +78,23 @@ def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.word_totals(stats.cooccurrence(documents(spark, sf_dir))).select("word", "total")
+    return stats.word_totals(documents(spark, sf_dir)).select("word", "total")
 
 
-def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cooc = settle(stats.cooccurrence(turns(spark, sf_dir)))
-    return cooc, settle(stats.word_clusters(cooc, N_CLUSTERS))
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(stats.word_clusters(turns(spark, sf_dir), N_CLUSTERS))
 
 
 def word_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _clusters(spark, sf_dir)[1]
+    return _clusters(spark, sf_dir)
 
 
 def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cooc, clusters = _clusters(spark, sf_dir)
-    return stats.cluster_labels(clusters, cooc).select("cid", F.concat_ws(" ", "labels").alias("labels"))
+    return stats.cluster_labels(_clusters(spark, sf_dir), stats.word_totals(turns(spark, sf_dir))).select("cid", F.concat_ws(" ", "labels").alias("labels"))
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.tags(turns(spark, sf_dir), _clusters(spark, sf_dir)[1])
+    return stats.tags(turns(spark, sf_dir), _clusters(spark, sf_dir))
 
 
 def bucket_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,15 +122,17 @@ def _unknown_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.register(encode.unknown_words(encode.tokens(turns(spark, sf_dir), LEXICON)), LEXICON)
 
 
-def _traced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Traces of turns and of items, with the registry that the turns make and the items add to."""
-    first, both = _registries(spark, sf_dir)
-    return encode.trace(turns(spark, sf_dir), LEXICON, first), encode.trace(_as_docs(items(spark, sf_dir)), LEXICON, both), both
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Tokens of turns and of items, each made once, and the registries: what the turns make, and what the items add to that."""
+    docs, queries = settle(encode.tokens(turns(spark, sf_dir), LEXICON)), settle(encode.tokens(_as_docs(items(spark, sf_dir)), LEXICON))
+    first = settle(encode.register(encode.unknown_words(docs), LEXICON))
+    return docs, queries, first, settle(encode.register(encode.unknown_words(queries), LEXICON, first))
 
 
-def _registries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    first = settle(_unknown_of_all(spark, sf_dir))
-    return first, settle(encode.register(encode.unknown_words(encode.tokens(_as_docs(items(spark, sf_dir)), LEXICON)), LEXICON, first))
+def _traced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Traces of turns and of items, with the registry that the turns make and the items add to."""
+    docs, queries, first, both = _split(spark, sf_dir)
+    return encode.trace(turns(spark, sf_dir), LEXICON, first, split=docs), encode.trace(_as_docs(items(spark, sf_dir)), LEXICON, both, split=queries), both
 
 
 def blueprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,11 +142,11 @@ def blueprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _indexes(spark: SparkSession, sf_dir: str, learned: bool = False) -> tuple[DataFrame, DataFrame]:
     """Indexes of turns and items; with `learned`, weights, domains and clusters too."""
     d, q = turns(spark, sf_dir), _as_docs(items(spark, sf_dir))
-    first, both = _registries(spark, sf_dir)
+    d_split, q_split, first, both = _split(spark, sf_dir)
     idf_ = settle(stats.idf(d)) if learned else None
-    clusters = _clusters(spark, sf_dir)[1] if learned else None
-    docs = settle(search.index(d, LEXICON, first, idf_, clusters))
-    queries = settle(search.as_queries(search.index(q, LEXICON, both, idf_, clusters)))
+    clusters = _clusters(spark, sf_dir) if learned else None
+    docs = settle(search.index(d, LEXICON, first, idf_, clusters, split=d_split))
+    queries = settle(search.as_queries(search.index(q, LEXICON, both, idf_, clusters, split=q_split)))
     return queries, docs
 
 
@@ -245,7 +245,7 @@ def bucket_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = turns(spark, sf_dir)
-    c = neighborhoods.centroids(d, _clusters(spark, sf_dir)[1])
+    c = neighborhoods.centroids(d, _clusters(spark, sf_dir))
     return neighborhoods.memberships(d, c).withColumn("weight", F.round("weight", 6))
 
 
@@ -255,7 +255,7 @@ def five_part_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return energy.document_concepts(turns(spark, sf_dir), _clusters(spark, sf_dir)[1])
+    return energy.document_concepts(turns(spark, sf_dir), _clusters(spark, sf_dir))
 
 
 def concept_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +269,7 @@ def concept_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diffuse_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clusters = _clusters(spark, sf_dir)[1]
+    clusters = _clusters(spark, sf_dir)
     graph = energy.concept_graph(energy.document_concepts(turns(spark, sf_dir), clusters))
     e = energy.diffuse(energy.inject_words(items(spark, sf_dir), clusters), graph)
     return e.select("query_id", "cid", F.round("energy", 6).alias("energy"))
@@ -293,13 +293,13 @@ def directed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def direct_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return energy.direct_search(items(spark, sf_dir), turns(spark, sf_dir), _clusters(spark, sf_dir)[1], k=20)
+    return energy.direct_search(items(spark, sf_dir), turns(spark, sf_dir), _clusters(spark, sf_dir), k=20)
 
 
 def direct_energy_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As direct_energy, on clusters of 10,000 words and with 100 results."""
     d = turns(spark, sf_dir)
-    clusters = settle(stats.word_clusters(settle(stats.cooccurrence(d)), N_CLUSTERS, top_words=10_000))
+    clusters = settle(stats.word_clusters(d, N_CLUSTERS, top_words=10_000))
     return energy.direct_search(items(spark, sf_dir), d, clusters)
 
 
