@@ -46,12 +46,31 @@ def shared(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return q.join(d, "slot").groupBy("query_id", "doc_id").agg(F.count("*").alias("n_shared"), F.sum(F.abs(F.col("q_value") - F.col("value"))).alias("gap"))
 
 
-def zone_candidates(queries: DataFrame, docs: DataFrame, radius: int = ZONE) -> DataFrame:
-    """(query_id, doc_id): pairs with a slot whose values differ by the radius at most. A range join as an equi-join on bins."""
+def zone_candidates(queries: DataFrame, docs: DataFrame, radius: int = ZONE, on: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, doc_id[, more]): pairs with a slot whose values differ by the radius at most. A range join as an equi-join on bins.
+
+    `on` are further columns that the sides have to agree on; they are keys of the join, so other pairs aren't formed. `more` are
+    columns of the queries to keep.
+    """
     width = radius + 1
-    q = slots(queries, "query_id").withColumnRenamed("value", "q_value").withColumn("bin", F.explode(F.array(*[F.floor(F.col("q_value") / width) + k for k in (-1, 0, 1)])))
-    d = slots(docs, "doc_id").withColumn("bin", F.floor(F.col("value") / width))
-    return q.join(d, ["slot", "bin"]).where(F.abs(F.col("q_value") - F.col("value")) <= radius).select("query_id", "doc_id").distinct()
+    q = slots(queries, "query_id", *on, *more).withColumnRenamed("value", "q_value").withColumn("bin", F.explode(F.array(*[F.floor(F.col("q_value") / width) + k for k in (-1, 0, 1)])))
+    d = slots(docs, "doc_id", *on).withColumn("bin", F.floor(F.col("value") / width))
+    return q.join(d, ["slot", "bin", *on]).where(F.abs(F.col("q_value") - F.col("value")) <= radius).select("query_id", "doc_id", *more).distinct()
+
+
+def compared(pairs: DataFrame, queries: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
+    """The pairs (query_id, doc_id, ...) that share a slot, with `both` (array of slot, q_value, value), and columns of both sides.
+
+    Rows are fetched by id for the pairs that are there; nothing is formed beside them.
+    """
+    q = queries.select("query_id", F.col("row").alias("q_row"), *[F.col(c).alias(f"q_{c}") for c in more])
+    met = pairs.join(q, "query_id").join(docs.select("doc_id", "row", *more), "doc_id")
+    beside = F.transform("q_row", lambda s: F.struct(s["slot"].alias("slot"), s["value"].alias("q_value"), F.get(F.filter("row", lambda r: r["slot"] == s["slot"]), F.lit(0))["value"].alias("value")))
+    return met.withColumn("both", F.filter(beside, lambda x: x["value"].isNotNull())).drop("q_row", "row").where(F.size("both") > 0)
+
+
+def _gap(both: Column, weight=None) -> Column:
+    return F.aggregate(both, F.lit(0.0), lambda a, x: a + F.abs(x["q_value"] - x["value"]) * (F.lit(1.0) if weight is None else weight(x["slot"])))
 
 
 def bucket_candidates(queries: DataFrame, docs: DataFrame, radius: int = 0) -> DataFrame:
@@ -103,43 +122,56 @@ def linear(queries: DataFrame, docs: DataFrame, threshold: float = 150.0, min_sh
 
 def matrix(queries: DataFrame, docs: DataFrame, threshold: float = 150.0, min_shared: int = 1, radius: int = ZONE) -> DataFrame:
     """Linear distances of pairs that pass the signature filter and lie in a zone. The distance itself always needs two shared slots."""
-    zone = zone_candidates(queries, docs, radius)
-    pairs = shared(queries, docs).where(F.col("n_shared") >= min_shared).join(zone, ["query_id", "doc_id"], "left_semi")
-    pairs = pairs.withColumn("distance", distances.row_distance(F.col("n_shared"), F.col("gap")))
+    pairs = compared(zone_candidates(queries, docs, radius), queries, docs).withColumn("n_shared", F.size("both")).where(F.col("n_shared") >= min_shared)
+    pairs = pairs.withColumn("distance", distances.row_distance(F.col("n_shared"), _gap(F.col("both"))))
     return pairs.where(F.col("distance") <= threshold).select("query_id", "doc_id", F.round("distance", 2).alias("distance"))
 
 
+def _routed(queries: DataFrame) -> DataFrame:
+    """The queries once for their cluster (pool 0) and once for the general one (pool 1), whose number is in cid."""
+    both = F.array_distinct(F.array("cid", F.lit(-1)))
+    return queries.withColumn("cid", F.explode(both)).withColumn("pool", F.when(F.col("cid") == -1, 1).otherwise(0))
+
+
 def pools(queries: DataFrame, docs: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, pool): documents of the query's cluster (pool 0) and of the general one (pool 1), without the excluded pairs."""
-    q = queries.select("query_id", F.explode(F.array_distinct(F.array("cid", F.lit(-1)))).alias("pool_cid"))
-    d = docs.select("doc_id", F.col("cid").alias("pool_cid"))
-    out = q.join(d, "pool_cid").select("query_id", "doc_id", F.when(F.col("pool_cid") == -1, 1).otherwise(0).alias("pool"))
+    out = _routed(queries).select("query_id", "cid", "pool").join(docs.select("doc_id", "cid"), "cid").select("query_id", "doc_id", "pool")
     return out if excluded is None else out.join(excluded.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
 
 
-def _zoned(pairs: DataFrame, zone: DataFrame) -> DataFrame:
-    """Pairs in a zone; all pairs of a query none of whose pairs is in one."""
-    flagged = pairs.join(zone.withColumn("in_zone", F.lit(1)), ["query_id", "doc_id"], "left")
-    some = F.max("in_zone").over(W.partitionBy("query_id"))
-    return flagged.withColumn("some", some).where("in_zone = 1 OR some IS NULL").drop("in_zone", "some")
+def candidates(queries: DataFrame, docs: DataFrame, radius: int = ZONE, excluded: DataFrame | None = None, pool: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, pool): pairs of a pool that lie in a zone; of a query without any, all pairs of its pools.
+
+    Cluster, slot and bin are one key, so pairs outside are never formed; whole pools are formed for the remaining queries only. A
+    caller's own pool is narrowed down by the zones instead.
+    """
+    if pool is None:
+        zoned = zone_candidates(_routed(queries), docs, radius, ("cid",), ("pool",))
+        if excluded is not None:
+            zoned = zoned.join(excluded.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    else:
+        zoned = pool.join(zone_candidates(queries, docs, radius), ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "pool")
+    zoned = settle(zoned)
+    bare = queries.join(zoned.select("query_id").distinct(), "query_id", "left_anti")
+    rest = pools(bare, docs, excluded) if pool is None else pool.join(bare.select("query_id"), "query_id", "left_semi").select("query_id", "doc_id", "pool")
+    return zoned.unionByName(rest)
 
 
 def weighted_pairs(queries: DataFrame, docs: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, distance, n_shared): weighted distance of pairs that share a slot, with the slot weights of a common domain."""
-    spark = docs.sparkSession
-    weights = F.broadcast(spark.createDataFrame([(d, k, w) for d, ws in SLOT_WEIGHTS.items() for k, w in enumerate(ws)], "common string, slot int, w double"))
-    q = slots(queries, "query_id", "weight", "domain", "signature").toDF("query_id", "slot", "q_value", "q_weight", "q_domain", "q_signature")
-    d = slots(docs, "doc_id", "weight", "domain", "signature")
-    both = q.join(d, "slot")
-    if pairs is not None:
-        both = both.join(pairs.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
-    both = both.withColumn("common", F.when((F.col("q_domain") == F.col("domain")) & (F.col("domain") != GENERAL), F.col("domain")))
-    both = both.join(weights, ["common", "slot"], "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
-    sums = both.groupBy("query_id", "doc_id", "q_weight", "weight", "q_signature", "signature", "domain").agg(
-        F.count("*").alias("n_shared"), F.sum(F.abs(F.col("q_value") - F.col("value")) * F.col("w")).alias("gap"), F.sum("w").alias("total")
-    )
+    """(query_id, doc_id, distance, n_shared, weight, domain[, pool]): weighted distance of pairs that share a slot, with the slot
+    weights of a common domain. Without pairs, of all that share one."""
+    if pairs is None:
+        pairs = slots(queries, "query_id").join(slots(docs, "doc_id"), "slot").select("query_id", "doc_id").distinct()
+    kept = ["pool"] * ("pool" in pairs.columns)
+    met = compared(pairs.select("query_id", "doc_id", *kept), queries, docs, "weight", "domain", "signature")
+    weights = F.create_map(*[x for d, ws in SLOT_WEIGHTS.items() for x in (F.lit(d), F.array(*map(F.lit, map(float, ws))))])
+    own = F.when((F.col("q_domain") == F.col("domain")) & (F.col("domain") != GENERAL), F.try_element_at(weights, "domain"))
+    met = met.select("*", F.explode(F.array(F.struct(own.alias("of")))).alias("w"))
+    weight = lambda slot: F.coalesce(F.get(F.col("w.of"), slot), F.lit(1.0))
+    total = F.aggregate("both", F.lit(0.0), lambda a, x: a + weight(x["slot"]))
+    met = met.select("query_id", "doc_id", *kept, F.size("both").alias("n_shared"), _gap(F.col("both"), weight).alias("gap"), total.alias("total"), "q_signature", "signature", "q_weight", "weight", "domain")
     d6 = distances.weighted_distance(F.col("n_shared"), F.col("gap"), F.col("total"), F.col("q_signature"), F.col("signature"), F.col("q_weight"), F.col("weight"))
-    return sums.select("query_id", "doc_id", d6.alias("distance"), "n_shared", "weight", "domain")
+    return met.select("query_id", "doc_id", d6.alias("distance"), "n_shared", "weight", "domain", *kept)
 
 
 def weighted_linear(queries: DataFrame, docs: DataFrame, threshold: float = 100.0) -> DataFrame:
@@ -147,36 +179,38 @@ def weighted_linear(queries: DataFrame, docs: DataFrame, threshold: float = 100.
 
 
 def clustered(queries: DataFrame, docs: DataFrame, k: int = 20, threshold: float = 100.0, radius: int = ZONE, excluded: DataFrame | None = None, weighted: bool = False, pool: DataFrame | None = None) -> DataFrame:
-    """(query_id, rank, doc_id, distance): cluster routing, signature filter, zones with their fallback, distance, the k nearest.
+    """(query_id, rank, doc_id, distance): cluster routing, zones with their fallback, signature filter, distance, the k nearest.
 
     With weighted, the distance is the domain-weighted one. `excluded` (query_id, doc_id) is left out; callers add what they were given.
     """
-    pool = pools(queries, docs, excluded) if pool is None else pool
-    signed = shared(queries, docs).join(pool, ["query_id", "doc_id"])
-    candidates = _zoned(signed, zone_candidates(queries, docs, radius))
+    pairs = candidates(queries, docs, radius, excluded, pool)
     if weighted:
-        scored = weighted_pairs(queries, docs, candidates).select("query_id", "doc_id", "distance").join(candidates.select("query_id", "doc_id", "pool"), ["query_id", "doc_id"])
+        scored = weighted_pairs(queries, docs, pairs)
     else:
-        scored = candidates.withColumn("distance", distances.row_distance(F.col("n_shared"), F.col("gap")))
+        scored = compared(pairs, queries, docs).withColumn("distance", distances.row_distance(F.size("both"), _gap(F.col("both"))))
     near = scored.where(F.col("distance") <= threshold).withColumn("distance", F.round("distance", 2))
     order = W.partitionBy("query_id").orderBy("distance", "pool", "doc_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "distance")
 
 
 def search_statistics(queries: DataFrame, docs: DataFrame, radius: int = ZONE, threshold: float = 100.0) -> DataFrame:
-    """(query_id, query_cluster, total, cluster_size, signature_pass, zone_candidates, within): sizes of each stage, for every query."""
-    pool = pools(queries, docs)
-    signed = shared(queries, docs).join(pool, ["query_id", "doc_id"])
-    zoned = _zoned(signed, zone_candidates(queries, docs, radius))
+    """(query_id, query_cluster, total, cluster_size, signature_pass, zone_candidates, within): sizes of each stage, for every query.
+
+    The first two are sums over documents counted by cluster and signature; no pair is formed for them.
+    """
+    counted = F.broadcast(docs.groupBy("cid", F.col("signature").alias("of")).agg(F.count("*").alias("n")))
+    met = _routed(queries).select("query_id", "signature", "cid").join(counted, "cid")
+    sums = met.groupBy("query_id").agg(F.sum("n").alias("cluster_size"), F.sum(F.when(F.col("signature").bitwiseAND(F.col("of")) != 0, F.col("n"))).alias("signature_pass"))
+    zoned = settle(compared(candidates(queries, docs, radius), queries, docs).select("query_id", "doc_id", "pool"))
     within = weighted_pairs(queries, docs, zoned).where(F.col("distance") <= threshold)
 
     def sizes(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("query_id").agg(F.count("*").alias(name))
 
-    out = queries.select("query_id", F.col("cid").alias("query_cluster")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("total"))))
-    for df, name in ((pool, "cluster_size"), (signed, "signature_pass"), (zoned, "zone_candidates"), (within, "within")):
-        out = out.join(sizes(df, name), "query_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return out
+    out = queries.select("query_id", F.col("cid").alias("query_cluster")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("total")))).join(sums, "query_id", "left")
+    for df, name in ((zoned, "zone_candidates"), (within, "within")):
+        out = out.join(sizes(df, name), "query_id", "left")
+    return out.select("query_id", "query_cluster", "total", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("cluster_size", "signature_pass", "zone_candidates", "within")])
 
 
 class Store:
