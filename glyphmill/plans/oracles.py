@@ -11,12 +11,14 @@ from glyphmill.functions.lexicon import (
     FALLBACK,
     PREFIXES,
     RANGES,
+    SLOT_NAMES,
     SLOT_WEIGHTS,
     STOP_WORDS,
     SUFFIXES,
     Lexicon,
     cluster_of,
 )
+from glyphmill.sources import synthetic
 
 LEXICON = Lexicon()
 N_CLUSTERS = 8
@@ -194,6 +196,22 @@ def _registry(tokens: str, name: str, earlier: str | None = None) -> list[str]:
     return [*out, f"{name} AS ({whole}" + (f" UNION ALL SELECT word, id, cluster, method FROM {earlier})" if earlier else ")")]
 
 
+def _synthetic(n: int, seed: int) -> str:
+    """Templates and fills chosen by digests of id, field and seed."""
+
+    def chosen(of: list[str], *by: object) -> str:
+        told = ", ".join(["id::VARCHAR", *(_q(str(x)) for x in by)])
+        return f"[{', '.join(map(_q, of))}][(('0x' || substring(md5(concat_ws(':', {told})), 1, 8))::BIGINT % {len(of)}) + 1]"
+
+    cases = []
+    for name, (templates, fills) in synthetic.DOMAINS.items():
+        text = chosen(templates, seed, name)
+        for key, values in fills.items():
+            text = f"replace({text}, {_q('{' + key + '}')}, {chosen(values, seed, name, key)})"
+        cases.append(f"WHEN {_q(name)} THEN {text}")
+    return f"SELECT id AS doc_id, CASE domain {' '.join(cases)} END AS text, domain FROM (SELECT id, {chosen(list(synthetic.DOMAINS), seed, 'domain')} AS domain FROM range({n}) AS r(id))"
+
+
 def _trace(tokens: str, registry: str, name: str) -> list[str]:
     return [f"{name} AS (SELECT doc_id, pos, surface, id, cluster FROM {tokens} WHERE cluster IS NOT NULL UNION ALL SELECT doc_id, pos, surface, r.id, r.cluster FROM {tokens} t JOIN {registry} r ON r.word = t.surface WHERE t.cluster IS NULL)"]
 
@@ -388,6 +406,16 @@ ORACLES: dict[str, str] = {
     "encode_counts": _with(*_tokens("documents", "tok"), select="SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (cluster IS NULL) AS n_unknown, sum(id)::BIGINT AS id_sum FROM tok GROUP BY doc_id"),
     "registry": _with(ITEMS, "asked AS (SELECT query_id AS doc_id, query_text AS text FROM items)", *_tokens("asked", "qt"), *_registry("qt", "reg"), select="SELECT word, id::INT AS id, cluster, method FROM reg"),
     "blueprint": _with(*ENCODED, select="SELECT doc_id, slot, value FROM bp"),
+    "slot_names": _with(*ENCODED, "names AS (SELECT * FROM " + _values(list(enumerate(SLOT_NAMES)), "k, name") + ")", select="SELECT doc_id, name AS slot, value FROM bp JOIN names ON names.k = bp.slot"),
+    "shared_slots": _with(*ENCODED, select="SELECT query_id, doc_id, bit_count(q_signature & signature)::INT AS n FROM zone JOIN qsig USING (query_id) JOIN sig USING (doc_id)"),
+    "decode_roundtrip": _with(
+        ITEMS, "qd AS (SELECT query_id AS doc_id, query_text AS text FROM items)", *_tokens("qd", "qtok"), *_registry("qtok", "reg"), *_trace("qtok", "reg", "tr"),
+        "rev AS (SELECT * FROM " + _values(list(LEXICON.reverse.items()), "id, token") + ")", "named AS (SELECT id, max(word) AS word FROM reg WHERE id IS NOT NULL GROUP BY 1)",
+        "said AS (SELECT doc_id, pos, CASE WHEN pos IS NULL THEN '' ELSE coalesce(word, token, CASE WHEN id BETWEEN 32 AND 126 THEN chr(id::INT) END, '<UNK:' || coalesce(id::VARCHAR, 'None') || '>') END AS part "
+        "FROM qd LEFT JOIN tr USING (doc_id) LEFT JOIN named USING (id) LEFT JOIN rev USING (id))",
+        select="SELECT doc_id, string_agg(part, '' ORDER BY pos) AS text FROM said GROUP BY 1",
+    ),
+    "synthetic_corpus": _synthetic(1000, 42),
     "signature": _with(*ENCODED, select="SELECT doc_id, coalesce(signature, 0)::INT AS signature, coalesce(n_slots, 0)::INT AS n_slots FROM turns LEFT JOIN sig USING (doc_id)"),
     "semantic_group": _with(
         *ENCODED,

@@ -154,6 +154,18 @@ def signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _indexes(spark, sf_dir)[1].select("doc_id", "signature", F.size("row").alias("n_slots"))
 
 
+def slot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blueprints of turns with the slots' names."""
+    return _indexes(spark, sf_dir)[1].select("doc_id", F.explode(distances.slot_names(F.col("blueprint"))).alias("slot", "value"))
+
+
+def shared_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many slots each pair in a zone has in common, by its signatures."""
+    q, d = _indexes(spark, sf_dir)
+    pairs = search.zone_candidates(q, d).join(q.select("query_id", F.col("signature").alias("q_signature")), "query_id").join(d.select("doc_id", "signature"), "doc_id")
+    return pairs.select("query_id", "doc_id", distances.shared_slots(F.col("q_signature"), F.col("signature")).cast("int").alias("n"))
+
+
 def semantic_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.semantic_group(_traced(spark, sf_dir)[0])
 
@@ -438,7 +450,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_stats, idf, sentence_weight, query_weights, domain_hint, cooccurrence, word_totals, word_clusters, cluster_labels, tags,
-        bucket_sizes, vocabulary_report, encode_tokens, encode_counts, registry, blueprint, signature, semantic_group, decode_roundtrip,
+        bucket_sizes, vocabulary_report, encode_tokens, encode_counts, registry, blueprint, signature, slot_names, shared_slots, semantic_group, decode_roundtrip,
         semantic_distance, semantic_search, blueprint_distance, blueprint_scan, slot_filter, range_query, zone_candidates, matrix_linear, matrix_search,
         weighted_linear, clustered_search, store_search, search_statistics, excluded_search, related_search, bucket_relations, memberships,
         five_part_search, concept_graph, concept_weights, diffuse_energy, energy_search, pruned_energy_search, directed_search, direct_energy, direct_energy_full,

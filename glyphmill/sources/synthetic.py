@@ -16,7 +16,9 @@ DOMAINS: dict[str, tuple[list[str], dict[str, list[str]]]] = {
 
 
 def _chosen(of: list[str], *seed: object) -> Column:
-    k = F.pmod(F.xxhash64(F.col("id"), *[F.lit(str(s)) for s in seed]), F.lit(len(of)))
+    """One of the values, by the first 32 bits of the digest of id and seeds."""
+    digest = F.md5(F.concat_ws(":", F.col("id").cast("string"), *[F.lit(str(s)) for s in seed]).cast("binary"))
+    k = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % len(of)
     return F.array(*[F.lit(x) for x in of])[k.cast("int")]
 
 
@@ -51,7 +53,7 @@ def swapped(base: DataFrame, swaps: dict[str, list[str]], n: int, seed: int = 42
     """(doc_id, text): n sentences of `base` (k, text), k from 0, with at most one word replaced by one of its swaps, each with chance 1/2 in turn."""
     spark = base.sparkSession
     size = base.count()
-    picked = spark.range(n).withColumn("k", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size))).join(F.broadcast(base), "k")
+    picked = spark.range(n).withColumn("k", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size))).join(base, "k")
     text = F.col("text")
     coins = [text.contains(w) & (F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(w)), F.lit(2)) == 0) for w in swaps]
     out = None
