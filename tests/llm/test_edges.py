@@ -112,3 +112,40 @@ def test_pages(spark):
     assert kinds == {(1, "revisit", 2), (2, "response", None), (3, "response", None), (4, "response", None), (None, "revisit", 2), (5, "response", None), (6, "response", None)}
     assert warc.round_trip(spark.createDataFrame([], schema)).count() == 0
     assert dict((r[0], r[1]) for r in back)[1] == len(big.encode()) and F is not None
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, "alpha beta gamma delta"), (1, "alpha beta gamma delta"), (1, "zeta eta theta iota"), (2, "alpha beta gamma delta"), (None, "alpha beta gamma delta"), (None, "kappa lambda mu nu"), (None, "kappa lambda mu nu"), (5, None), (6, ""), (None, " ")]
+    got = table(simhash.keep_first(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, fp int, stays int")))
+    assert got == sorted([(*r, 1, 2) for r in [rows[0], rows[2], rows[5], rows[7]]], key=str)
+
+
+def test_defined_results_of_learned_operators(docs, labels, benchmark):
+    quality_of = {r.doc_id: r for r in OPERATORS["quality"](docs, labels, benchmark).collect()}
+    assert all(quality_of[k].good_share == 0 for k in (2, 3, 4)) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in quality_of.values())
+    judged = {r.doc_id: r for r in OPERATORS["rules"](docs, labels, benchmark).collect()}
+    assert all((judged[k].n_words, judged[k].base_failed, judged[k].kept) == (0, True, False) for k in (2, 3, 4)) and judged[5].base_failed
+    licensed = {r.doc_id: r for r in OPERATORS["licenses"](docs, labels, benchmark).collect()}
+    assert all(r.licence is None and r.licensed_by is None for r in licensed.values())
+    shards = OPERATORS["sharding"](docs, labels, benchmark).collect()
+    assert sorted((r.shard, r.slot) for r in shards) == sorted((k * 24 // 9, 0) for k in range(9))
+    packed = {r.doc_id: r for r in OPERATORS["packing"](docs, labels, benchmark).collect()}
+    assert packed[2].doc_tokens == packed[3].doc_tokens == packed[4].doc_tokens == 1
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    words = lambda a, n=80: " ".join(f"word{a}x{i}" for i in range(n))
+    secret = "0123456789abcdef" * 3
+    rows = [(1, words("a")), (1, words("a")), (2, words("a")), (3, None), (4, ""), (None, words("b")), (5, f"{words('c')} token = {secret} {words('d')}"), (6, words("e", 9000)), (7, f"{words('f')} {words('q', 12)} {words('g')}"), (8, "same " * 90)]
+    spark.createDataFrame([(k, t, "en", "s", None, 1, "h") for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, fp int, hits string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, words("q", 12)), (2, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+    got = {r.doc_id: r.text for r in docs.collect()}
+    assert docs.count() == 5 and got.keys() == {1, None, 5, 6, 7} and got[1] == words("a") and len(got[6].split()) == 9000
+    assert secret not in got[5] and got[5].startswith(words("c")) and "wordqx" not in got[7] and "wordgx79" in got[7]
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == got.keys()
