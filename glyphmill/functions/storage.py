@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,3 +34,12 @@ def settle(df: DataFrame) -> DataFrame:
     """The same rows, read from a checkpoint: what comes after neither plans nor computes what came before again."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+#: Rows up to which a settled table of a few short columns is sent to every task.
+BROADCAST_ROWS = 200_000
+
+
+def near_all(settled: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A settled table, marked for broadcast if a count shows that it is small; a checkpoint doesn't tell the planner its size."""
+    return F.broadcast(settled) if settled.limit(rows + 1).count() <= rows else settled

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.functions import tokens
-from glyphmill.functions.storage import settle
+from glyphmill.functions.storage import near_all, settle
 
 K1, B = 1.5, 0.75
 #: Words have no white space in them.
@@ -39,7 +39,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b:
     asked = settle(query_terms(queries, query_id, query_text))
     # each document adds a term that no text has, by which it is counted even without a term of the queries
     d = docs.select(F.col(doc_id).alias("doc_id"), tokens.words(F.col(text)).alias("words"))
-    vocabulary = asked.select("term").distinct().union(docs.sparkSession.createDataFrame([(EVERY,)], "term string"))
+    vocabulary = near_all(settle(asked.select("term").distinct().union(docs.sparkSession.createDataFrame([(EVERY,)], "term string"))))
     found = d.select("doc_id", F.size("words").alias("length"), F.explode(F.array_append("words", F.lit(EVERY))).alias("term")).join(vocabulary, "term", "left_semi")
     found = settle(found.groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf")))
     postings = found.where(F.col("term") != EVERY)
@@ -47,8 +47,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = K1, b:
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     n = F.col("n_docs")
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    terms = asked.join(df, "term").crossJoin(whole).select("query_id", "term", (idf * F.col("repeats")).alias("weight"), "avg_length")
+    terms = asked.join(df, "term").crossJoin(F.broadcast(whole)).select("query_id", "term", (idf * F.col("repeats")).alias("weight"), "avg_length")
     tf = F.col("tf")
     part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    scored = postings.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    scored = postings.join(near_all(settle(terms)), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     return ranked(scored, k).select("query_id", "rank", "doc_id", "score")
