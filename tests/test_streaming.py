@@ -1,11 +1,12 @@
 """Stream encoding, and the registry that grows batch by batch."""
 
 from glyphmill.functions.lexicon import Lexicon
-from glyphmill.operators import encode
-from glyphmill.streaming.encode import classified, growing_registry
+from glyphmill.streaming import encode as streams
+from glyphmill.streaming.encode import classified, growing_registry, stored_registry
 
 
-def test_streams(spark, tmp_path):
+def test_streams(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "COMPACT_AFTER", 2)
     lex = Lexicon()
     texts = [(1, "kafka broker xyzzyq"), (2, "a suspicious payment, plughhq"), (3, "nothing xyzzyq")]
     schema = "doc_id bigint, text string"
@@ -17,7 +18,9 @@ def test_streams(spark, tmp_path):
     assert {tuple(r) for r in spark.sql("SELECT * FROM said").collect()} == {(1, "DevOps"), (2, "Finance"), (3, "general")}
     query = growing_registry(stream(), lex, str(tmp_path / "registry"), str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(200)
-    words = spark.read.schema(encode.REGISTRY).option("recursiveFileLookup", "true").parquet(str(tmp_path / "registry"))
+    assert (tmp_path / "registry" / "upto-2").exists()
+    words = stored_registry(spark, str(tmp_path / "registry"), 3)
+    assert sorted(map(tuple, stored_registry(spark, str(tmp_path / "registry"), 2).collect()), key=str) == sorted(map(tuple, spark.read.parquet(str(tmp_path / "registry" / "upto-2")).collect()), key=str)
     rows = words.collect()
     assert {r.word for r in rows} >= {"xyzzyq", "plughhq"} and len({r.word for r in rows}) == len(rows)
     ids = [r.id for r in rows if r.id is not None]
