@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.functions import tokens
+from glyphmill.operators import dots
 from glyphmill.operators.bm25 import ranked
 from glyphmill.operators.energy import concept_graph, diffuse, genericity
 
@@ -178,18 +179,29 @@ def maxsim(query_atoms: DataFrame, doc_atoms: DataFrame, affinity_: DataFrame, i
 
     affinity_ (a, b, sim) and idf are as large as the square of the number of atoms at most.
     """
-    q = query_atoms.join(F.broadcast(idf), "atom", "left").select("query_id", F.col("atom").alias("a"), (F.col("value") * F.coalesce("idf", F.lit(1.0))).alias("weight"))
-    reach = q.join(F.broadcast(affinity_), "a").select("query_id", "a", "weight", F.col("b").alias("atom"), "sim")
-    best = doc_atoms.where("value > 0").join(reach, "atom").groupBy("query_id", "doc_id", "a", "weight").agg(F.max(F.col("value") * F.col("sim")).alias("best"))
-    scored = best.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("best")).alias("score")).where("score > 0")
-    return ranked(scored, k).select("query_id", "rank", "doc_id", "score")
+    weighted = query_atoms.join(F.broadcast(idf), "atom", "left").select("query_id", "atom", (F.col("value") * F.coalesce("idf", F.lit(1.0))).alias("weight"))
+    pairs = affinity_.select("a", "b", "sim").toArrow()
+    width = 1 + max([0, *(int(np.max(pairs[c].to_numpy(), initial=0)) for c in ("a", "b"))])
+    near = np.zeros((width, width))
+    near[pairs["a"].to_numpy(), pairs["b"].to_numpy()] = pairs["sim"].to_numpy()
+    known = lambda rows: rows.where(F.col("atom").between(0, width - 1))
+    found = dots.top(_queries(known(weighted)), _codes(known(doc_atoms)), k, near=near)
+    return ranked(found, k).select("query_id", "rank", "doc_id", "score")
+
+
+def _queries(weighted: DataFrame) -> DataFrame:
+    return dots.vectors(weighted, "query_id", "atom", "weight")
+
+
+def _codes(doc_atoms: DataFrame) -> DataFrame:
+    return dots.vectors(doc_atoms.where("value > 0"), "doc_id", "atom", "value")
 
 
 def gated_dot(query_atoms: DataFrame, doc_atoms: DataFrame, idf: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, doc_id, score): weighted query codes times document codes."""
     q = query_atoms.join(F.broadcast(idf), "atom", "left").select("query_id", "atom", (F.col("value") * F.coalesce("idf", F.lit(1.0))).alias("weight"))
-    scored = doc_atoms.join(q, "atom").groupBy("query_id", "doc_id").agg(F.sum(F.col("value") * F.col("weight")).alias("score")).where("score > 0")
-    return ranked(scored, k).select("query_id", "rank", "doc_id", "score")
+    found = dots.top(_queries(q), dots.vectors(doc_atoms, "doc_id", "atom", "value"), k)
+    return ranked(found, k).select("query_id", "rank", "doc_id", "score")
 
 
 def diffused_dot(query_atoms: DataFrame, doc_atoms: DataFrame, idf: DataFrame, n_docs: int, k: int = 10, iterations: int = 2, damping: float = 0.6) -> DataFrame:
