@@ -1,10 +1,12 @@
 """What grows with the number of pairs or with the corpus is neither kept nor sent."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.operators import dots, factor
+from glyphmill.operators import bm25, dots, energy, evaluate, factor
 
 
 @pytest.fixture()
@@ -57,3 +59,41 @@ def test_blocks_and_ties(spark, monkeypatch, block):
     for r in factor.ranked(dots.top(queries, docs, 3), 3).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.doc_id, r.score))
     assert got == {1: [("d000", 1.0), ("d001", 1.0), ("d002", 1.0)], 2: [("d000", 0.25), ("d002", 0.25), ("d004", 0.25)], 4: [("d000", 0.75), ("d002", 0.75), ("d004", 0.75)]}
+
+
+def test_bm25_forms_no_row_for_a_pair(spark, ranked_rows):
+    seen = ranked_rows(bm25)
+    docs = spark.createDataFrame([(i, "common " * (i % 7) + f"word{i}") for i in range(2000)], "doc_id long, text string").repartition(4)
+    queries = spark.createDataFrame([(q, f"common word{q * 10}") for q in range(20)], "query_id long, query_text string")
+    found = bm25.search(docs, queries, 3).where("rank = 1").collect()
+    assert seen[0] <= 20 * 3 * 4
+    assert {(r.query_id, r.doc_id) for r in found} == {(q, q * 10) for q in range(20)}
+
+
+def test_bm25_counts_rows_of_one_id_together(spark):
+    q = spark.createDataFrame([(1, "apple pear")], "query_id long, query_text string")
+    twice = spark.createDataFrame([(1, "apple fig"), (1, "apple fig"), (2, "pear"), (None, "apple")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in bm25.search(twice, q, 9).collect()}
+    n, average = 4, 6 / 4
+    part = lambda tf, length: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / average))
+    apple, pear = np.log((n - 2 + 0.5) / 2.5 + 1), np.log((n - 1 + 0.5) / 1.5 + 1)
+    assert {d: round(s, 9) for d, s in got.items()} == {1: round(apple * part(2, 2), 9), 2: round(pear * part(1, 1), 9), None: round(apple * part(1, 1), 9)}
+
+
+def test_metrics_sort_no_judgments(spark):
+    qrels = spark.createDataFrame([(1, d, None if d == 5 else d % 3) for d in range(40)] + [(2, 1, 0)], "query_id long, doc_id long, rel int")
+    results = spark.createDataFrame([(1, 1, 2), (1, 2, 99), (1, 3, 4)], "query_id long, rank int, doc_id long")
+    m = evaluate.per_query(results, qrels)
+    assert "NULLS LAST, doc_id" not in re.sub(r"#\d+L?", "", m._jdf.queryExecution().optimizedPlan().toString())
+    ideal = sum(2 / np.log2(r + 1) for r in range(1, 11))
+    (r,) = m.collect()
+    assert (round(r.ndcg, 9), round(r.recall, 9)) == (round((2 + 1 / 2) / ideal, 9), round(2 / 25, 9))
+
+
+def test_energy_forms_no_row_for_a_pair(spark, ranked_rows):
+    seen = ranked_rows(energy)
+    concepts = spark.createDataFrame([(d, c) for d in range(2000) for c in (1, 2 + d % 3)], "doc_id long, cid int").repartition(4)
+    e = spark.createDataFrame([(q, c, float(c)) for q in range(20) for c in (1, 2, 4)], "query_id long, cid int, energy double")
+    given = spark.createDataFrame([(q, 2 + 3 * i) for q in range(20) for i in range(2)], "query_id long, doc_id long")
+    assert {(r.query_id, r["rank"], r.doc_id, r.score) for r in energy.score(e, concepts, 3, excluded=given).collect()} == {(q, i + 1, 8 + 3 * i, 5.0) for q in range(20) for i in range(3)}
+    assert seen[0] <= 20 * 5 * 4
