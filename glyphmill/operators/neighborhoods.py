@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import tokens
 from glyphmill.functions.lexicon import GENERAL, SLOT_WEIGHTS
+from glyphmill.functions.storage import settle
 from glyphmill.operators.bm25 import ranked
-from glyphmill.operators.search import ZONE, clustered, pools, slots
+from glyphmill.operators.search import ZONE, clustered, slots
 
 #: Words of a centroid, memberships of a text, and the weight of the general pool.
 CENTROID_WORDS, TOP, GENERAL_WEIGHT = 20, 3, 0.05
@@ -59,12 +60,7 @@ def bucket_relations(docs: DataFrame, tagged: DataFrame, doc_id: str = "doc_id",
 
 def related_search(queries: DataFrame, docs: DataFrame, relations: DataFrame, k: int = 20, threshold: float = 100.0, radius: int = ZONE, excluded: DataFrame | None = None) -> DataFrame:
     """The clustered search with weighted distance, over the query's bucket, its related ones and the general pool."""
-    own = pools(queries, docs, excluded)
-    more = queries.select("query_id", F.col("cid").alias("bucket")).join(relations, "bucket").join(docs.select("doc_id", F.col("cid").alias("related")), "related").select("query_id", "doc_id", F.lit(2).alias("pool"))
-    if excluded is not None:
-        more = more.join(excluded.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    pool = own.union(more).groupBy("query_id", "doc_id").agg(F.min("pool").alias("pool"))
-    return clustered(queries, docs, k, threshold, radius, weighted=True, pool=pool)
+    return clustered(queries, docs, k, threshold, radius, excluded, weighted=True, related=settle(relations))
 
 
 def five_part_search(queries: DataFrame, docs: DataFrame, idf: DataFrame, query_texts: DataFrame, doc_texts: DataFrame, k: int = 10, excluded: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.operators import bm25, dots, energy, evaluate, factor
+from glyphmill.operators import bm25, dots, energy, evaluate, factor, search
 
 
 @pytest.fixture()
@@ -97,3 +97,29 @@ def test_energy_forms_no_row_for_a_pair(spark, ranked_rows):
     given = spark.createDataFrame([(q, 2 + 3 * i) for q in range(20) for i in range(2)], "query_id long, doc_id long")
     assert {(r.query_id, r["rank"], r.doc_id, r.score) for r in energy.score(e, concepts, 3, excluded=given).collect()} == {(q, i + 1, 8 + 3 * i, 5.0) for q in range(20) for i in range(3)}
     assert seen[0] <= 20 * 5 * 4
+
+
+def slot_rows(spark, n, key, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(i, [(int(s), int(v)) for s, v in zip(sorted(rng.choice(6, 3, replace=False)), rng.integers(0, 3000, 3), strict=True)] if i % 50 else [], i % 4 - 1) for i in range(n)]
+    return rows, spark.createDataFrame(rows, f"{key} long, row array<struct<slot:int,value:int>>, cid int").repartition(3)
+
+
+def test_zones_deal_no_pairs(spark):
+    asked, q = slot_rows(spark, 30, "query_id", 1)
+    held, d = slot_rows(spark, 400, "doc_id", 2)
+    near = lambda a, b: any(s == t and abs(v - w) <= 150 for s, v in a for t, w in b)
+    out = search.zone_candidates(q, d, measured=True).cache()
+    assert "Exchange" not in search.zone_candidates(q, d.coalesce(2).localCheckpoint())._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.query_id, r.doc_id) for r in out.collect()) == [(i, j) for i, a, _ in asked for j, b, _ in held if near(a, b)]
+    apart = {(i, j): [abs(v - w) for s, v in a for t, w in b if s == t] for i, a, _ in asked for j, b, _ in held}
+    assert all((r.n_shared, r.gap) == (len(apart[r.query_id, r.doc_id]), sum(apart[r.query_id, r.doc_id])) for r in out.collect())
+    same = search.zone_candidates(q, d, on=("cid",), more=("cid",))
+    assert sorted((r.query_id, r.doc_id, r.cid) for r in same.collect()) == [(i, j, c) for i, a, c in asked for j, b, e in held if c == e and near(a, b)]
+
+
+def test_related_clusters_are_routes(spark):
+    """The pool of a related search is never formed; routes are clusters, each once, the nearer kind first."""
+    q = spark.createDataFrame([(1, 5), (2, -1), (3, 6)], "query_id long, cid int")
+    related = spark.createDataFrame([(5, 6), (5, -1), (5, 5), (6, 5)], "bucket int, related int")
+    assert {(r.query_id, r.cid, r.pool) for r in search._routed(q, related).collect()} == {(1, 5, 0), (1, -1, 1), (1, 6, 2), (2, -1, 1), (3, 6, 0), (3, -1, 1), (3, 5, 2)}
