@@ -123,3 +123,56 @@ def test_related_clusters_are_routes(spark):
     q = spark.createDataFrame([(1, 5), (2, -1), (3, 6)], "query_id long, cid int")
     related = spark.createDataFrame([(5, 6), (5, -1), (5, 5), (6, 5)], "bucket int, related int")
     assert {(r.query_id, r.cid, r.pool) for r in search._routed(q, related).collect()} == {(1, 5, 0), (1, -1, 1), (1, 6, 2), (2, -1, 1), (3, 6, 0), (3, -1, 1), (3, 5, 2)}
+
+
+def weighted_rows(spark, x, parts=5):
+    rows = [(i, [int(j) for j in np.nonzero(r)[0]], [float(v) for v in r[r > 0]]) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, "doc_id long, ids array<int>, ws array<double>").repartition(parts)
+
+
+def test_fits_sum_over_every_document(spark, monkeypatch):
+    """No sample: sums over blocks in the cluster are those over the whole matrix, and so are the atoms that come of them."""
+    monkeypatch.setattr(factor, "BLOCK", 32)
+    rng = np.random.default_rng(3)
+    x = ((np.abs(rng.normal(size=(300, 5))) * (rng.random((300, 5)) < 0.5)) @ (np.abs(rng.normal(size=(5, 40))) * (rng.random((5, 40)) < 0.3))).astype(np.float32)
+    spread = factor.Spread(weighted_rows(spark, x), 40)
+    plain = lambda x, w: np.concatenate([[len(x)], (x.T @ x).ravel(), w])
+    got = spread.total(plain, np.zeros(20))
+    assert got[0] == 300 and np.allclose(got[1:1601], (x.T @ x).ravel(), rtol=1e-4)
+    w = factor.learn_factors(spread, n_basis=5)
+    h = factor.code(x.astype(np.float64), w, 0.0, sweeps=500, tolerance=1e-9)
+    assert (w >= 0).all() and np.linalg.norm(x - h @ w) < 0.1 * np.linalg.norm(x)
+    assert np.allclose(w, factor.learn_factors(x, n_basis=5), atol=0.05 * w.max())
+    d = factor.learn_dictionary(spread, n_atoms=8, alpha=0.01)
+    h = factor.code(x.astype(np.float64), d, 0.01, sweeps=300, tolerance=1e-8)
+    assert np.linalg.norm(d, axis=1).max() <= 1 + 1e-6 and np.linalg.norm(x - h @ d) < 0.25 * np.linalg.norm(x)
+
+
+def test_fits_hold_atoms_and_sums_only(spark, monkeypatch):
+    """The driver gets a row for each piece of the sums and, to begin with, one for each atom."""
+    seen, plain = [], type(spark.range(1)).toArrow
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda self: seen.append(plain(self)) or seen[-1])
+    docs = spark.createDataFrame([(i, f"common word{i % 40} word{i % 7} other{i % 11}") for i in range(2000)], "doc_id long, text string").repartition(4)
+    for method in ("dictionary", "nmf"):
+        factor.Retriever(n_atoms=6, method=method, rounds=3).fit(docs)
+    assert seen and max(t.num_rows for t in seen) <= 58  # the vocabulary
+
+
+def test_tfidf_deals_no_terms(spark):
+    docs = spark.createDataFrame([(1, "apple apple fig"), (2, "apple pear"), (3, "pear fig zz"), (4, "yy"), (5, None)], "doc_id long, text string")
+    v = factor.vocabulary(docs, min_df=2).localCheckpoint()
+    assert [(r.term_id, r.term) for r in v.orderBy("term_id").collect()] == [(0, "apple"), (1, "fig"), (2, "pear")]
+    out = factor.tfidf(docs.coalesce(1).localCheckpoint(), v)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    same = np.log(6 / 3) + 1
+    part = {(1, 0): (np.log(2) + 1) * same, (1, 1): same, (2, 0): same, (2, 2): same, (3, 1): same, (3, 2): same}
+    length = {d: sum(x * x for (e, _), x in part.items() if e == d) ** 0.5 for d in (1, 2, 3)}
+    assert {(r.doc_id, r.term_id): round(r.w, 9) for r in out.collect()} == {k: round(x / length[k[0]], 9) for k, x in part.items()}
+
+
+def test_tfidf_counts_rows_of_one_id_together(spark):
+    twice = spark.createDataFrame([(1, "apple fig"), (1, "apple"), (None, "fig"), (None, "fig")], "doc_id long, text string")
+    v = factor.vocabulary(twice, min_df=1, max_df=1.0).localCheckpoint()
+    assert {(r.term, r.df, r.total) for r in factor.term_totals(twice).collect()} == {("apple", 1, 2), ("fig", 2, 3)}
+    w = {(r.doc_id, r.term_id): r.w for r in factor.tfidf(twice, v).collect()}
+    assert set(w) == {(1, 0), (1, 1), (None, 1)} and w[None, 1] == 1 and w[1, 0] > w[1, 1]
