@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -191,6 +195,10 @@ def blueprints(traced: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, lexicon: Lexicon, registry: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", split: DataFrame | None = None) -> DataFrame:
     """(doc_id, ids, blueprint, row, signature), a row for each document. `split` as in trace()."""
+    if split is None and single(docs, doc_id):
+        reg = register(unknown_words_of(docs, lexicon, doc_id, text), lexicon) if registry is None else registry
+        out = numbered(docs, lexicon, reg, doc_id, text).select("doc_id", "ids", "blueprint").withColumn("row", distances.slot_row(F.col("blueprint")))
+        return out.withColumn("signature", distances.signature(F.col("row")))
     t = settle(trace(docs, lexicon, registry, doc_id, text, split))
     ids = t.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
     slots = blueprints(t).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slot", "value")))).alias("blueprint"))
@@ -222,3 +230,115 @@ def semantic_group(traced: DataFrame) -> DataFrame:
     ranges = F.broadcast(clusters_table(traced.sparkSession))
     named = best.join(ranges, "cluster").select("doc_id", F.replace(F.replace(F.lower("cluster"), F.lit(" "), F.lit("_")), F.lit("&"), F.lit("and")).alias("sem_group"), F.concat_ws("-", F.col("lo").cast("string"), F.col("hi").cast("string")).alias("sem_score"))
     return traced.select("doc_id").distinct().join(named, "doc_id", "left").select("doc_id", F.coalesce("sem_group", F.lit("miscellaneous")).alias("sem_group"), F.coalesce("sem_score", F.lit("4901-9999")).alias("sem_score"))
+
+
+def single(docs: DataFrame, doc_id: str = "doc_id") -> bool:
+    """Whether each row has a doc_id of its own: then a document's tokens stay in its row, and none needs a row of its own."""
+    return not docs.groupBy(doc_id).agg(F.count("*").alias("n")).where(F.col(doc_id).isNull() | (F.col("n") > 1)).limit(1).count()
+
+
+def _listed(docs: DataFrame, lexicon: Lexicon, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, surfaces, letters): all tokens of a row, and its letters beyond ASCII, as Java knows them."""
+    beyond = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x00-\x7F]|\P{L}", "")
+    return docs.select(F.col(doc_id).alias("doc_id"), surfaces(F.col(text), lexicon).alias("surfaces"), beyond.alias("letters"))
+
+
+def _distinct(b: pa.RecordBatch, known: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of _listed(): each token's place among the distinct ones, those, their place in `known` or -1, which of the others are
+    words, and each token's row."""
+    coded = b.column(1).flatten().dictionary_encode()
+    said = coded.dictionary.to_pylist()
+    at = pa.compute.index_in(coded.dictionary, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+    letters = set("".join(b.column(2).to_pylist()))
+    word = np.array([k < 0 and (len(t) > 1 or "a" <= t <= "z" or t in letters) for t, k in zip(said, at, strict=True)], bool)
+    return coded.indices.to_numpy(), said, at, word, np.repeat(np.arange(b.num_rows), np.diff(b.column(1).offsets.to_numpy()))
+
+
+def unknown_words_of(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As unknown_words() of the documents' tokens; each task hands on one row for each word of a batch."""
+    if not single(docs, doc_id):
+        return unknown_words(tokens(docs, lexicon, doc_id, text))
+    sent, kind = docs.sparkSession.sparkContext.broadcast(pa.array(list(lexicon.lookup))), docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes, said, _, word, row = _distinct(b, sent.value)
+            order = pa.compute.sort_indices(b.column(0)).to_numpy()
+            rank = np.empty(b.num_rows, np.int64)
+            rank[order] = np.arange(b.num_rows)
+            pos = np.arange(len(row)) - b.column(1).offsets.to_numpy()[row]
+            first = np.full(len(said), np.iinfo(np.int64).max)
+            np.minimum.at(first, codes, (rank[row] << 32) + pos)
+            kept = np.nonzero(word)[0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([said[k] for k in kept], pa.string()), b.column(0).take(pa.array(order[first[kept] >> 32])), pa.array((first[kept] & 0xFFFFFFFF).astype(np.int32))], ["word", "doc_id", "pos"]
+            )
+
+    found = _listed(docs, lexicon, doc_id, text).mapInArrow(run, f"word string, doc_id {kind}, pos int")
+    return found.groupBy("word").agg(F.min(F.struct("doc_id", "pos")).alias("seen"))
+
+
+def numbered(docs: DataFrame, lexicon: Lexicon, registry: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids, blueprint, sem_group, sem_score), a row for each document with an id of its own: what trace(), blueprints() and
+    semantic_group() make, without a row for a token. A document without tokens has no group.
+
+    The registry's words with a number, as many as there are numbers at most, go to every task.
+    """
+    spark = docs.sparkSession
+    given = registry.where("id IS NOT NULL").select("word", "id", "cluster").toArrow()
+    base = dictionary(spark, lexicon).toArrow()
+    listed = {c: (slot, rank) for c, _, _, slot, rank in CLUSTERS if slot is not None and c in SLOT_OF}
+    names = [c for c, *_ in CLUSTERS if c != FALLBACK]
+
+    def ready(t: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        slot_rank = [listed.get(c, (-1, 0)) for c in t.column("cluster").to_pylist()]
+        return t.column(0).combine_chunks(), t.column(1).to_numpy(), *(np.array([x[k] for x in slot_rank], np.int64) for k in (0, 1))
+
+    bounds = np.array([RANGES[c] for c in names])
+    said_of = [[c.lower().replace(" ", "_").replace("&", "and") for c in names] + ["miscellaneous"], [f"{lo}-{hi}" for lo, hi in bounds.tolist()] + ["4901-9999"]]
+    sent = spark.sparkContext.broadcast((ready(base), ready(given)))
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = sent.value
+        for b in batches:
+            codes, said, at, word, row = _distinct(b, tables[0][0])
+            at_given = pa.compute.index_in(pa.array(said, pa.string()), value_set=tables[1][0]).fill_null(-1).to_numpy(zero_copy_only=False)
+            number, slot, rank = np.full(len(said), -1, np.int64), np.full(len(said), -1, np.int64), np.zeros(len(said), np.int64)
+            other = (at < 0) & ~word
+            number[other] = [ord(said[k][0]) for k in np.nonzero(other)[0]]
+            for place, (_, ids, slots_, ranks) in ((np.where(word, at_given, -1), tables[1]), (at, tables[0])):
+                held = place >= 0
+                number[held], slot[held], rank[held] = ids[place[held]], slots_[place[held]], ranks[place[held]]
+            short = np.array([len(t.strip(" ")) < 4 for t in said], bool)
+            slot[short | (number < 0)] = -1
+            group = np.full(len(said), -1, np.int64)
+            for k in reversed(range(len(names))):
+                group[(number >= bounds[k][0]) & (number <= bounds[k][1])] = k
+            offsets = b.column(1).offsets
+            ids = pa.ListArray.from_arrays(offsets, pa.array(number[codes], pa.int32(), mask=number[codes] < 0))
+            # of each slot's tokens that of the highest rank, the first of equals
+            t = np.nonzero(slot[codes] >= 0)[0]
+            t = t[np.lexsort((t, -rank[codes[t]], slot[codes[t]], row[t]))]
+            key = row[t] * 1024 + slot[codes[t]]
+            t = t[np.append(True, key[1:] != key[:-1])] if len(t) else t
+            blueprint = pa.MapArray.from_arrays(pa.array(np.searchsorted(row[t], np.arange(b.num_rows + 1)), pa.int32()), pa.array(slot[codes[t]], pa.int32()), pa.array(number[codes[t]], pa.int32()))
+            # the cluster of most tokens, the first seen of equals
+            t = np.nonzero(group[codes] >= 0)[0]
+            key, first, n = np.unique(row[t] * len(names) + group[codes[t]], return_index=True, return_counts=True)
+            order = np.lexsort((first, -n, key // len(names)))
+            rows, lead = np.unique(key[order] // len(names), return_index=True)
+            best = np.full(b.num_rows, len(names))
+            best[rows] = key[order][lead] % len(names)
+            empty = np.diff(offsets.to_numpy()) == 0
+            groups = [pa.array([x[k] for k in best], pa.string(), mask=empty) for x in said_of]
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, blueprint, *groups], ["doc_id", "ids", "blueprint", "sem_group", "sem_score"])
+
+    return _listed(docs, lexicon, doc_id, text).mapInArrow(run, f"doc_id {kind}, ids array<int>, blueprint map<int,int>, sem_group string, sem_score string")
+
+
+def groups(docs: DataFrame, lexicon: Lexicon, registry: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """semantic_group() of the documents' trace."""
+    if not single(docs, doc_id):
+        return semantic_group(trace(docs, lexicon, registry, doc_id, text))
+    return numbered(docs, lexicon, registry, doc_id, text).where("sem_group IS NOT NULL").select("doc_id", "sem_group", "sem_score")

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.operators import bm25, dots, energy, evaluate, factor, search
+from glyphmill.functions import distances
+from glyphmill.functions.lexicon import Lexicon
+from glyphmill.operators import bm25, dots, encode, energy, evaluate, factor, search
 
 
 @pytest.fixture()
@@ -176,3 +178,38 @@ def test_tfidf_counts_rows_of_one_id_together(spark):
     assert {(r.term, r.df, r.total) for r in factor.term_totals(twice).collect()} == {("apple", 1, 2), ("fig", 2, 3)}
     w = {(r.doc_id, r.term_id): r.w for r in factor.tfidf(twice, v).collect()}
     assert set(w) == {(1, 0), (1, 1), (None, 1)} and w[None, 1] == 1 and w[1, 0] > w[1, 1]
+
+
+def odd_texts(spark, repeated=False):
+    said = ["Kafka qqqzz lag, the zzyyx!", None, "", "ﬁ ÄÖ ßtraße 日本語 qqqzz", "😀😀 é ǅungla ​", "  error fraud  Fraud refund zzyyx", "123 __ --", "Kafka qqqzx lag error \t\n wwvvu", "ancient login_page x"]
+    rows = [((k * 7) % 9, t) for k, t in enumerate(said)] + ([(0, "again kafka"), (None, "nothing")] if repeated else [])
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_encoding_needs_no_row_for_a_token(spark, repeated):
+    """The same as by tokens, one a row, on odd texts; nothing is dealt where ids are single."""
+    lex, docs = Lexicon(), odd_texts(spark, repeated)
+    words = encode.unknown_words(encode.tokens(docs, lex))
+    assert sorted(map(str, encode.unknown_words_of(docs, lex).collect())) == sorted(map(str, words.collect()))
+    registry = encode.register(words, lex).withColumn("id", F.expr("if(word = 'wwvvu', null, id)")).localCheckpoint()
+    split = encode.tokens(docs, lex)
+    plain = encode.encode(docs, lex, registry, split=split)
+    show = lambda df: sorted(str((r[0], r[1], sorted(r.blueprint.items()), r.row, r.signature)) for r in df.collect())
+    assert show(encode.encode(docs, lex, registry)) == show(plain)
+    assert sorted(map(str, encode.groups(docs, lex, registry).collect())) == sorted(map(str, encode.semantic_group(encode.trace(docs, lex, registry)).collect()))
+    if not repeated:
+        plan = encode.numbered(docs.coalesce(2).localCheckpoint(), lex, registry)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("threshold", [50.0, 1e9])
+def test_semantic_distances_need_no_cross_join(spark, threshold):
+    rng = np.random.default_rng(5)
+    lists = lambda n: [(i, [None if rng.random() < 0.1 else int(v) for v in rng.integers(0, 120, rng.integers(0, 9))]) for i in range(n)]
+    q = spark.createDataFrame(lists(20), "query_id int, ids array<int>")
+    d = spark.createDataFrame([*lists(300), (999, list(range(5000)))], "doc_id long, ids array<int>").repartition(3)
+    got = search.semantic(q, d, threshold)
+    assert "CartesianProduct" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    want = d.crossJoin(q.withColumnRenamed("ids", "q_ids")).withColumn("distance", distances.semantic_distance(F.col("q_ids"), F.col("ids"))).where(F.col("distance") <= threshold)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("query_id", "doc_id", "distance").collect()))
