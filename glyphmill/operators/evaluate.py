@@ -62,11 +62,18 @@ def macro(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.count("*").alias("n_queries"), *[F.avg(c).alias(c) for c in ("ndcg", "ap", "rr", "precision", "recall")])
 
 
-def set_metrics(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """(query_id, tp, fp, fn, precision, recall, f1) of sets of documents."""
-    a = found.select("query_id", "doc_id").distinct().withColumn("f", F.lit(1))
-    b = truth.select("query_id", "doc_id").distinct().withColumn("t", F.lit(1))
-    n = a.join(b, ["query_id", "doc_id"], "full").groupBy("query_id").agg(F.count_if(F.expr("f = 1 AND t = 1")).alias("tp"), F.count_if(F.expr("t IS NULL")).alias("fp"), F.count_if(F.expr("f IS NULL")).alias("fn"))
+def set_metrics(found: DataFrame, truth: DataFrame, single: bool = False) -> DataFrame:
+    """(query_id, tp, fp, fn, precision, recall, f1) of sets of documents.
+
+    Sizes are counted by query, and only pairs that were found are looked up; with single, the truth has each pair once and isn't dealt.
+    """
+    a = settle(found.select("query_id", "doc_id").distinct())
+    b = truth.select("query_id", "doc_id") if single else settle(truth.select("query_id", "doc_id").distinct())
+    marked = b.join(near_all(a).withColumn("f", F.lit(1)), ["query_id", "doc_id"], "left")
+    sizes = marked.groupBy("query_id").agg(F.lit(0).alias("m"), F.count("*").alias("n"), F.count("f").alias("hit"))
+    sizes = sizes.unionByName(a.groupBy("query_id").agg(F.count("*").alias("m"), F.lit(0).alias("n"), F.lit(0).alias("hit")))
+    n = sizes.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in ("m", "n", "hit")])
+    n = n.select("query_id", F.col("hit").alias("tp"), (F.col("m") - F.col("hit")).alias("fp"), (F.col("n") - F.col("hit")).alias("fn"))
     p, r = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
     n = n.withColumn("precision", F.coalesce(p, F.lit(0.0))).withColumn("recall", F.coalesce(r, F.lit(0.0)))
     return n.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))

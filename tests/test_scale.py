@@ -213,3 +213,18 @@ def test_semantic_distances_need_no_cross_join(spark, threshold):
     assert "CartesianProduct" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
     want = d.crossJoin(q.withColumnRenamed("ids", "q_ids")).withColumn("distance", distances.semantic_distance(F.col("q_ids"), F.col("ids"))).where(F.col("distance") <= threshold)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("query_id", "doc_id", "distance").collect()))
+
+
+def test_keyword_truth_deals_no_pairs(spark):
+    docs = spark.createDataFrame([(1, "Apple fig fig"), (2, "pear"), (3, None), (4, "apple PEAR x"), (None, "fig")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, ["apple", "fig", "fig"]), (2, ["pear"]), (3, []), (4, ["apple", "none"]), (None, ["x"])], "query_id int, keywords array<string>")
+    want = {(1, 1), (4, 1), (2, 2), (1, 4), (4, 4), (2, 4), (None, 4), (1, None)}
+    assert sorted(map(str, map(tuple, search.keyword_relevance(docs, q).collect()))) == sorted(map(str, want))
+    assert sorted(map(str, map(tuple, search.keyword_relevance(docs.union(docs), q).collect()))) == sorted(map(str, want))
+    one = docs.where("doc_id > 0").localCheckpoint()
+    assert "Exchange" not in search.keyword_relevance(one, q)._jdf.queryExecution().executedPlan().toString()
+    assert search.keyword_relevance(docs, q.where("query_id = 3")).count() == 0
+    found = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 4), (5, 1)], "query_id int, doc_id long")
+    m = lambda truth, **k: {r.query_id: (r.tp, r.fp, r.fn) for r in evaluate.set_metrics(found, truth, **k).collect()}
+    truth = search.keyword_relevance(one, q.where("query_id > 0"))
+    assert m(truth, single=True) == m(truth.union(truth)) == {1: (1, 1, 1), 2: (1, 0, 1), 4: (0, 0, 2), 5: (0, 1, 0)}
