@@ -3,9 +3,11 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from glyphmill.functions import distances
 from glyphmill.functions.lexicon import Lexicon
 from glyphmill.operators import bm25, dots, encode, energy, evaluate, factor, search
@@ -63,6 +65,37 @@ def test_blocks_and_ties(spark, monkeypatch, block):
     assert got == {1: [("d000", 1.0), ("d001", 1.0), ("d002", 1.0)], 2: [("d000", 0.25), ("d002", 0.25), ("d004", 0.25)], 4: [("d000", 0.75), ("d002", 0.75), ("d004", 0.75)]}
 
 
+def test_floors_are_found_once(monkeypatch):
+    cut, plain = [], np.partition
+    monkeypatch.setattr(dots.np, "partition", lambda *a, **b: cut.append(1) or plain(*a, **b))
+    rng = np.random.default_rng(5)
+    scores = np.round(rng.random((40, 600)), 2)
+    scores[:3, 4:] = 0  # fewer than k documents
+    scores[5] = -scores[5]
+    best = dots.Best(40, 10, 6)
+    for start in range(0, 600, 50):
+        best.add(scores[:, start : start + 50], pa.array(range(start, start + 50)))
+    assert len(cut) == 1
+    got = {}
+    for r in best.table().to_pylist():
+        got.setdefault(r["q"], []).append(r["doc_id"])
+    assert got == {q: want for q in range(40) if (want := [d for s, d in sorted((-s, d) for d, s in enumerate(scores[q]) if s > 0)[:10]])}
+
+
+def test_many_above_the_floor_raise_it():
+    scores = np.repeat(np.arange(1.0, 5001.0)[None], 50, axis=0)  # each document is better than those before it
+    best = dots.Best(50, 3, 6)
+    for start in range(0, 5000, 500):
+        best.add(scores[:, start : start + 500], pa.array(range(start, start + 500)))
+        assert best.waiting <= 50 * 3 * 4 * (start // 500 + 1)
+    assert best.table().column("doc_id").to_pylist() == [4999, 4998, 4997] * 50
+
+
+def test_vectors_are_cut_to_atoms_once(spark, sf_dir):
+    plan = entry.queries()["diffused_dot"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "embedding" not in plan  # all that follows reads the settled atoms
+
+
 def test_bm25_forms_no_row_for_a_pair(spark, ranked_rows):
     seen = ranked_rows(bm25)
     docs = spark.createDataFrame([(i, "common " * (i % 7) + f"word{i}") for i in range(2000)], "doc_id long, text string").repartition(4)
