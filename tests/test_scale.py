@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from glyphmill.functions import distances
 from glyphmill.functions.lexicon import Lexicon
-from glyphmill.operators import bm25, dots, encode, energy, evaluate, factor, search
+from glyphmill.operators import bm25, dots, encode, energy, evaluate, factor, search, stats
 
 
 @pytest.fixture()
@@ -261,3 +261,25 @@ def test_keyword_truth_deals_no_pairs(spark):
     m = lambda truth, **k: {r.query_id: (r.tp, r.fp, r.fn) for r in evaluate.set_metrics(found, truth, **k).collect()}
     truth = search.keyword_relevance(one, q.where("query_id > 0"))
     assert m(truth, single=True) == m(truth.union(truth)) == {1: (1, 1, 1), 2: (1, 0, 1), 4: (0, 0, 2), 5: (0, 1, 0)}
+
+
+@pytest.mark.parametrize("words", [1, 25, 1 << 20])
+def test_words_are_counted_in_their_tasks(spark, monkeypatch, words):
+    monkeypatch.setattr(stats, "WORDS", words)
+    rng = np.random.default_rng(3)
+    texts = [None, "", "single", "same same", *(" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "élan", "omega", "(kappa)"], n)) for n in (2, 3, 7, 8, 30, 30, 41))]
+    rows = [(f"d{(i * 7) % 5}" if i % 6 else None, t) for i, t in enumerate(texts * 2)]  # ids repeat, one is null
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3).cache()
+    heads = spark.createDataFrame([("alpha",), ("same",), ("absent",)], "word string")
+    totals, near = stats.word_totals(docs), stats.cooccurrence(docs, heads=heads)
+    for found in (totals, near):
+        assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row for a word or a pair
+    pairs = stats.cooccurrence(docs)
+    rows = lambda found: sorted(map(repr, found.collect()))
+    assert rows(near) == rows(pairs.where("w1 IN ('alpha', 'same')")) and near.schema["seen"].dataType.names == ["doc_id", "i", "j"]
+    assert rows(totals) == rows(pairs.groupBy(F.col("w1").alias("word")).agg(F.sum("n").alias("total"), F.min("seen").alias("seen")))
+
+
+def test_concepts_of_documents_are_found_once(spark, sf_dir):
+    plan = entry.queries()["direct_energy_full"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv_id" not in plan  # graph and scores read the settled concepts
